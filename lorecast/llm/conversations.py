@@ -29,7 +29,7 @@ ROLES = {
 }
 CONVERSATION_TYPES = ("conversation", "conversation_session")
 #: A text of white space only, no-break spaces included.
-BLANK = r"^[\s\u0085   -     　\u001C-\u001F]*\z"
+BLANK = r"^[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u001C-\u001F]*\z"
 
 
 def is_blank(text: Column) -> Column:

@@ -29,6 +29,7 @@ from lorecast.io import table
 TOKENIZERS = "/opt/tokenizers"
 BUCKETS = 16384
 NONE = 2147483647
+Rank = Callable[[Column], Column]
 #: The pattern that splits a text into words before byte-level BPE, as published with the vocabulary.
 #: (?U) makes \s the Unicode property White_Space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,14 +42,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """A function from a word (one character per byte) to its rank, NULL for none; the map is a literal of the plan."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        word = piece.decode("iso-8859-1")
-        buckets[zlib.crc32(word.encode()) % BUCKETS][word] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-    return lambda word: F.try_element_at(F.get(literal, F.pmod(F.crc32(word), F.lit(BUCKETS)).cast("int")), word)
+class RankMap:
+    """The ranks as one literal of the plan. `within` binds it to a variable, so that an expression holds it once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        for piece, rank in ranks.items():
+            word = piece.decode("iso-8859-1")
+            buckets[zlib.crc32(word.encode()) % BUCKETS][word] = rank
+        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+    def within(self, use: Callable[[Rank], Column]) -> Column:
+        """use(rank), where rank gives the rank of a word (one character per byte), NULL for none."""
+        return _let(
+            self.literal,
+            lambda ranks: use(lambda word: F.try_element_at(F.get(ranks, F.pmod(F.crc32(word), F.lit(BUCKETS)).cast("int")), word)),
+        )
+
+    def of(self, word: Column) -> Column:
+        return self.within(lambda rank: rank(word))
 
 
 def byte_word(word: Column) -> Column:
@@ -64,7 +76,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merge_word(word: Column, rank: Callable[[Column], Column]) -> Column:
+def merge_word(word: Column, rank: Rank) -> Column:
     """The ids of one word of two bytes or more: the ranked merges, folded over its bytes."""
     pair = lambda a: F.coalesce(rank(a), F.lit(NONE))
     one = lambda x: F.array(x)
@@ -103,27 +115,29 @@ def merge_word(word: Column, rank: Callable[[Column], Column]) -> Column:
 
 def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
     """(key, ids) of every row of df, without special tokens."""
-    rank = rank_map(ranks)
+    ranked = RankMap(ranks)
     rows = df.select(df[key].alias("key"), df[text].alias("text")).withColumn("hash", F.xxhash64("text"))
     full = rows.where(F.length("text") > 0)
     found = (
         full.dropDuplicates(["key", "hash"])
         .select("key", "hash", F.posexplode(split_words(F.col("text"))).alias("at", "raw"))
         .select("key", "hash", "at", byte_word(F.col("raw")).alias("word"))
-        .where(rank(F.col("word")).isNull())
+        .where(ranked.of(F.col("word")).isNull())
     )
     distinct = (
         full.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("raw"))
         .select(byte_word(F.col("raw")).alias("word"))
-        .where(rank(F.col("word")).isNull())
+        .where(ranked.of(F.col("word")).isNull())
         .distinct()
     )
-    codes = distinct.select("word", merge_word(F.col("word"), rank).alias("ids"))
+    codes = distinct.select("word", ranked.within(lambda rank: merge_word(F.col("word"), rank)).alias("ids"))
     merged = found.join(codes, "word").groupBy("key", "hash").agg(F.collect_list(F.struct("at", "ids")).alias("merged"))
     merged = merged.select(F.col("key").alias("k"), F.col("hash").alias("h"), "merged")
-    whole = F.filter(
-        F.transform(split_words(F.col("text")), lambda w, i: F.struct(i.alias("at"), rank(byte_word(w)).alias("id"))),
-        lambda x: x["id"].isNotNull(),
+    whole = ranked.within(
+        lambda rank: F.filter(
+            F.transform(split_words(F.col("text")), lambda w, i: F.struct(i.alias("at"), rank(byte_word(w)).alias("id"))),
+            lambda x: x["id"].isNotNull(),
+        )
     )
     placed = F.transform(whole, lambda x: F.struct(x["at"].alias("at"), F.array(x["id"]).alias("ids")))
     rest = F.coalesce("merged", F.array().cast("array<struct<at:int,ids:array<int>>>"))

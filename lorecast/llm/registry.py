@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting", "conversations", "tokens", "packing", "personal", "names", "residue")
+MODULES = ("neighbours", "splitting", "conversations", "tokens", "packing", "personal", "names", "residue")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lorecast.functions import vector as V
 from lorecast.functions.ranking import fuse, minmax, position_percentile, top
+from lorecast.functions.text import words
 
 K1, B = 1.2, 0.75
 
@@ -25,7 +26,7 @@ def vector_search(df: DataFrame, key: str, embedding: str, query: list[float], k
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return words(text)
 
 
 def lexical_search(df: DataFrame, key: str, text: str, terms: list[str], k: int, require_all: bool = True) -> DataFrame:

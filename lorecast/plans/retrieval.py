@@ -181,10 +181,10 @@ QUERIES = {
 
 _Q = "q AS (SELECT embedding::DOUBLE[] v FROM embeddings WHERE vec_id = 0)"
 _VEC = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) score FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY score DESC, vec_id LIMIT {k}"
-_TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
-_LEX = f"""SELECT doc_id vec_id, {' + '.join(f"ln(1 + (N - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / av))" for i in range(len(TERMS)))} score
+_TOK = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+_LEX = f"""SELECT doc_id vec_id, {' + '.join(f"ln(1 + (nd - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / av))" for i in range(len(TERMS)))} score
     FROM (SELECT doc_id, len(t) n, {', '.join(f"len(list_filter(t, lambda x: x = '{w}')) f{i}" for i, w in enumerate(TERMS))} FROM (SELECT doc_id, {_TOK} t FROM documents WHERE text IS NOT NULL)) x,
-    (SELECT count(*) N, avg(len(t)) av, {', '.join(f"count(*) FILTER (WHERE list_contains(t, '{w}')) d{i}" for i, w in enumerate(TERMS))} FROM (SELECT {_TOK} t FROM documents WHERE text IS NOT NULL)) s
+    (SELECT count(*) nd, avg(len(t)) av, {', '.join(f"count(*) FILTER (WHERE list_contains(t, '{w}')) d{i}" for i, w in enumerate(TERMS))} FROM (SELECT {_TOK} t FROM documents WHERE text IS NOT NULL)) s
     WHERE {' AND '.join(f'f{i} > 0' for i in range(len(TERMS)))} ORDER BY score DESC, vec_id LIMIT {{k}}"""
 _MM = "CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END"
 
@@ -232,7 +232,7 @@ _MI = {"memories": 0.3, "claims": 0.25, "entities": 0.15, "causal": 0.12, "proce
 ORACLE = {
     "vector_topk": f"WITH {_Q} SELECT vec_id, round(score, 6) similarity FROM ({_VEC.format(k=20)})",
     "lexical_topk": f"SELECT vec_id, round(score, 6) score FROM ({_LEX.format(k=20)})",
-    "web_search": r"""SELECT doc_id FROM (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> ''), ' ') t FROM documents WHERE text IS NOT NULL)
+    "web_search": r"""SELECT doc_id FROM (SELECT doc_id, array_to_string(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> ''), ' ') t FROM documents WHERE text IS NOT NULL)
         WHERE (regexp_matches(t, '(^| )recall( |$)') OR regexp_matches(t, '(^| )drift( |$)')) AND regexp_matches(t, '(^| )golden questions( |$)') AND NOT regexp_matches(t, '(^| )snapshot( |$)')""",
     "minmax_list": f"WITH {_Q} SELECT vec_id, round({_MM}, 6) normalised FROM ({_VEC.format(k=40)})",
     "percentile_list": f"WITH {_Q} SELECT vec_id, round((row_number() OVER (ORDER BY score, vec_id DESC) - 1) / (count(*) OVER () - 1), 6) percentile FROM ({_VEC.format(k=40)})",

@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,7 +78,6 @@ SHORT = {
     "logistic": "logistics", "inst": "institute", "instr": "instruments",
 }
 _MAIN, _TAIL = (part.split() for part in BUSINESS.split(":"))
-_LETTERS = 27
 
 
 def radius(length: int | np.ndarray) -> int | np.ndarray:
@@ -108,6 +108,41 @@ def distance(a: str, b: str, most: int = 99) -> int:
     return min(d[len(a) + 1][len(b) + 1], most + 1)
 
 
+_WIDE = 24
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Words as rows of character codes, 0 after the end; only for words of at most _WIDE characters."""
+    out = np.zeros((len(words), _WIDE), np.uint8)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 200 for c in w[:_WIDE]]
+    return out
+
+
+def adjacent_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Edit distances, with transpositions of adjacent letters only, of many pairs at once (rows of _letters).
+
+    It is never below the true metric, and at most one above it where that is 3 or less; so it serves as a filter.
+    """
+    n, wide_a, wide_b = len(a), int(la.max(initial=0)), int(lb.max(initial=0))
+    rows = [np.tile(np.arange(wide_b + 1, dtype=np.int8)[:, None], (1, n))]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    out = np.where(la == 0, lb, 0).astype(np.int8)
+    for i in range(1, wide_a + 1):
+        row = np.empty_like(rows[-1])
+        row[0] = i
+        for j in range(1, wide_b + 1):
+            best = np.minimum(rows[-1][j - 1] + (a[i - 1] != b[j - 1]), np.minimum(rows[-1][j], row[j - 1]) + 1)
+            if i > 1 and j > 1:
+                swapped = (a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1])
+                best = np.where(swapped, np.minimum(best, rows[-2][j - 2] + 1), best)
+            row[j] = best
+        ends = la == i
+        out[ends] = row[lb[ends], np.flatnonzero(ends)]
+        rows = [rows[-1], row]
+    return out
+
+
 def plain(name: str) -> str:
     """Lower case, without accents and ligatures, letters and digits only, dots of initials and legal forms closed."""
     text = unicodedata.normalize("NFKD", name.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("đ", "d"))
@@ -120,12 +155,16 @@ _KNOWN = {g: g for g in (*GIVEN, *NICKNAMES)} | {n: g for g, names in NICKNAMES.
 _KNOWN |= {n: n for n in AMBIGUOUS if n not in _KNOWN}
 
 
+@lru_cache(maxsize=4096)
+def _known_mask(word: str) -> int:
+    return _mask(word)
+
+
 def _near(word: str, words: dict[str, str] | list[str]) -> str | None:
     """The only or nearest of the words within the edits allowed for its length; the first letters settle ties."""
-    most = 0 if len(word) < 4 else 1 if len(word) < 6 else 2
-    best = min(
-        ((distance(word, w, most), w[:1] != word[:1], w) for w in words if abs(len(w) - len(word)) <= most and (len(w) >= 4)), default=(99, True, "")
-    )
+    most, own = 0 if len(word) < 4 else 1 if len(word) < 6 else 2, _mask(word)
+    close = (w for w in words if abs(len(w) - len(word)) <= most and len(w) >= 4 and (own & ~_known_mask(w)).bit_count() <= most)
+    best = min(((distance(word, w, most), w[:1] != word[:1], w) for w in close), default=(99, True, ""))
     return best[2] if best[0] <= most else None
 
 
@@ -220,20 +259,79 @@ def parse(df: DataFrame, key: str, kind: str, name: str) -> DataFrame:
 
     rows = df.select(df[key].cast("string").alias("id"), of.alias("kind"), df[name].alias("name"))
     rows = rows.where("id is not null and kind is not null and length(name) > 0").groupBy("id").agg(F.min(F.struct("kind", "name")).alias("s"))
-    return rows.select("id", "s.kind", "s.name").mapInPandas(run, "id string, kind string, core string, second string")
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism  # the parser works more than its bytes tell
+    return rows.select("id", "s.kind", "s.name").repartition(tasks, "id").mapInPandas(run, "id string, kind string, core string, second string")
 
 
-def _bags(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), _LETTERS), dtype=np.int8)
-    for i, w in enumerate(words):
-        for c in w:
-            out[i, ord(c) - 97 if "a" <= c <= "z" else 26] += 1
-    return out
+def _mask(word: str) -> int:
+    """A bit for each letter that a word has, and one for each that it has twice."""
+    seen = 0
+    for c in word:
+        bit = 1 << (ord(c) - 97 if "a" <= c <= "z" else 26)
+        seen |= bit << 27 if seen & bit else bit
+    return seen
+
+
+def _masks(words: list[str]) -> np.ndarray:
+    return np.array([_mask(w) for w in words], dtype=np.uint64)
+
+
+def _least(one: np.uint64, many: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance: letters that one word has and the other lacks."""
+    return np.maximum(np.bitwise_count(one & ~many), np.bitwise_count(many & ~one))
+
+
+def _place(kind: str, cores: list[str], words: list[str], masks: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> list[tuple]:
+    """The cells of some cores: (kind, pivot, core, at home), with a null pivot for a core at home nowhere."""
+    reach = [int(radius(len(c))) + RADIUS for c in cores]
+    near: list[list[tuple[int, str]]] = [[] for _ in cores]
+    own, ones = _letters(cores), _masks(cores)
+    i, j = [], []
+    for k, core in enumerate(cores):
+        if not words:
+            break
+        found = np.flatnonzero((_least(ones[k], masks) <= reach[k]) & (np.abs(lengths - len(core)) <= reach[k]))
+        if len(core) > _WIDE - RADIUS * 2:  # long: no filter by rows of letters
+            near[k] = [(d, words[x]) for x in found if (d := distance(core, words[x], reach[k])) <= reach[k]]
+        else:
+            i.append(np.full(len(found), k))
+            j.append(found)
+    if i and sum(map(len, i)):
+        i, j = np.concatenate(i), np.concatenate(j)
+        for at in range(0, len(i), 16384):
+            a, b = i[at : at + 16384], j[at : at + 16384]
+            rough = adjacent_distance(own[a], np.array([len(cores[x]) for x in a]), letters[b], np.minimum(lengths[b], _WIDE))
+            for x in np.flatnonzero(rough <= np.array(reach)[a] + 2):
+                core, word = cores[a[x]], words[b[x]]
+                if (d := distance(core, word, reach[a[x]])) <= reach[a[x]]:
+                    near[a[x]].append((d, word))
+    rows = []
+    for core, found in zip(cores, near, strict=True):
+        found.sort()
+        home = bool(found) and found[0][0] <= RADIUS
+        rows += [(kind, w, core, home and w == found[0][1]) for _, w in found]
+        if not home:
+            rows.append((kind, None, core, False))
+    return rows
+
+
+def _join_cell(batch: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a cell that have a core at home and are within the radius."""
+    words, kind = batch["core"].tolist(), batch["kind"].iloc[0]
+    masks, allowed = _masks(words), radius(np.array([len(w) for w in words]))
+    rows = []
+    for h in np.flatnonzero(batch["home"].to_numpy()):
+        most = np.minimum(allowed, allowed[h])
+        for i in np.flatnonzero(_least(masks[h], masks) <= most):
+            if words[i] != words[h] and (d := distance(words[h], words[i], int(most[i]))) <= most[i]:
+                rows.append((kind, *sorted((words[h], words[i])), d))
+    return pd.DataFrame(rows, columns=["kind", "a", "b", "d"])
 
 
 def radius_join(cores: DataFrame) -> DataFrame:
     """(kind, a, b, d): all pairs a < b of distinct cores of a kind within the radius of the shorter one."""
     spark = cores.sparkSession
+    tasks = 3 * spark.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced by size
     left = cut(cores.select("kind", "core").distinct())
     rest, found = left, None
     while (n := rest.count()) > 0:
@@ -242,46 +340,20 @@ def radius_join(cores: DataFrame) -> DataFrame:
         pivots: dict[str, list[str]] = defaultdict(list)
         for row in drawn:
             pivots[row.kind].append(row.core)
-        sent = spark.sparkContext.broadcast({kind: (words, _bags(words)) for kind, words in pivots.items()})
+        sent = spark.sparkContext.broadcast(dict(pivots))
 
         def assign(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            known = {kind: (words, _masks(words), _letters(words), np.array([len(w) for w in words])) for kind, words in sent.value.items()}
             for batch in batches:
-                rows = []
-                for kind, core in zip(batch["kind"], batch["core"], strict=True):
-                    words, bags = sent.value.get(kind, ([], np.zeros((0, _LETTERS), np.int8)))
-                    own = int(radius(len(core)))
-                    diff = _bags([core]) - bags
-                    low = np.maximum(np.where(diff > 0, diff, 0).sum(axis=1), np.where(diff < 0, -diff, 0).sum(axis=1))
-                    near = []
-                    for i in np.flatnonzero(low <= own + RADIUS):
-                        d = distance(core, words[i], own + RADIUS)
-                        if d <= own + RADIUS:
-                            near.append((d, words[i]))
-                    near.sort()
-                    home = bool(near) and near[0][0] <= RADIUS
-                    rows += [(kind, w, core, home and w == near[0][1]) for _, w in near]
-                    if not home:
-                        rows.append((kind, None, core, False))
-                yield pd.DataFrame(rows, columns=["kind", "pivot", "core", "home"])
-
-        placed = cut(rest.repartition(F.col("core")).mapInPandas(assign, "kind string, pivot string, core string, home boolean"))
-
-        def join(batch: pd.DataFrame) -> pd.DataFrame:
-            words = batch["core"].tolist()
-            homes = np.flatnonzero(batch["home"].to_numpy())
-            bags, lengths = _bags(words), np.array([len(w) for w in words])
-            allowed = radius(lengths)
-            rows = []
-            for h in homes:
-                diff = bags[h] - bags
-                low = np.maximum(np.where(diff > 0, diff, 0).sum(axis=1), np.where(diff < 0, -diff, 0).sum(axis=1))
-                most = np.minimum(allowed, allowed[h])
-                for i in np.flatnonzero(low <= most):
-                    if words[i] != words[h] and (d := distance(words[h], words[i], int(most[i]))) <= most[i]:
-                        rows.append((batch["kind"].iloc[0], *sorted((words[h], words[i])), d))
-            return pd.DataFrame(rows, columns=["kind", "a", "b", "d"])
-
-        pairs = placed.where("pivot is not null").groupBy("kind", "pivot").applyInPandas(join, "kind string, a string, b string, d int")
+                for kind, part in batch.groupby("kind"):
+                    words, masks, letters, lengths = known.get(kind, ([], *[np.zeros(0, np.uint64)] * 3))
+                    cores = part["core"].tolist()
+                    for at in range(0, len(cores), 256):
+                        yield pd.DataFrame(_place(kind, cores[at : at + 256], words, masks, letters, lengths), columns=["kind", "pivot", "core", "home"])
+
+        placed = cut(rest.repartition(tasks, "core").mapInPandas(assign, "kind string, pivot string, core string, home boolean"))
+
+        pairs = placed.where("pivot is not null").repartition(tasks, "kind", "pivot").groupBy("kind", "pivot").applyInPandas(_join_cell, "kind string, a string, b string, d int")
         found = pairs if found is None else found.unionByName(pairs)
         if k == n:
             break
@@ -368,7 +440,8 @@ def classes(forms: DataFrame, near: DataFrame) -> DataFrame:
         batch["class"] = [f"{kind}\0{core[top(i)]}\0{second[top(i)]}" for i in range(len(batch))]
         return batch[["kind", "core", "second", "class"]]
 
-    return rows.groupBy("family").applyInPandas(link, "kind string, core string, second string, class string")
+    tasks = 3 * forms.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "family").groupBy("family").applyInPandas(link, "kind string, core string, second string, class string")
 
 
 def entity_classes(entities: DataFrame) -> DataFrame:

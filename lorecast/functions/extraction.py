@@ -5,38 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of causes: pattern, relation, confidence, and whether the effect comes first.
-_S = r"([^.!?]+)"
+# Connectives of cause and effect: pattern, relation, confidence, and whether the effect comes first.
 CAUSES = [
-    (rf"{_S}\s+because\s+{_S}", "because", 0.95, True), (rf"{_S}\s+since\s+{_S}", "because", 0.85, True), (rf"{_S}\s+caused\s+by\s+{_S}", "caused_by", 0.95, True),
-    (rf"{_S}\s+resulted\s+in\s+{_S}", "resulted_in", 0.90, False), (rf"{_S}\s+results\s+in\s+{_S}", "resulted_in", 0.90, False), (rf"{_S}\s+led\s+to\s+{_S}", "led_to", 0.85, False),
-    (rf"{_S}\s+leads\s+to\s+{_S}", "led_to", 0.85, False), (rf"{_S}\s+due\s+to\s+{_S}", "due_to", 0.90, True), (rf"{_S}\s+triggered\s+{_S}", "triggered", 0.90, False),
-    (rf"{_S}\s+triggers\s+{_S}", "triggered", 0.90, False), (rf"{_S}\s+enabled\s+{_S}", "enabled", 0.85, False), (rf"{_S}\s+enables\s+{_S}", "enabled", 0.85, False),
-    (rf"{_S}\s+prevented\s+{_S}", "prevented", 0.85, False), (rf"{_S}\s+prevents\s+{_S}", "prevented", 0.85, False), (r"once\s+([^,]+),\s*([^.!?]+)", "temporal_effect", 0.65, False),
-    (r"if\s+([^,]+),\s+then\s+([^.!?]+)", "conditional", 0.60, False),
+    ("because", "because", 0.95, True), ("since", "because", 0.85, True), (r"caused\s+by", "caused_by", 0.95, True), (r"resulted\s+in", "resulted_in", 0.90, False),
+    (r"results\s+in", "resulted_in", 0.90, False), (r"led\s+to", "led_to", 0.85, False), (r"leads\s+to", "led_to", 0.85, False), (r"due\s+to", "due_to", 0.90, True),
+    ("triggered", "triggered", 0.90, False), ("triggers", "triggered", 0.90, False), ("enabled", "enabled", 0.85, False), ("enables", "enabled", 0.85, False),
+    ("prevented", "prevented", 0.85, False), ("prevents", "prevented", 0.85, False),
 ]
+# Patterns that open with a condition or a time.
+CONDITIONS = [(r"\bonce\s+([^,]+),\s*(.+)$", "temporal_effect", 0.65), (r"\bif\s+([^,]+),\s+then\s+(.+)$", "conditional", 0.60)]
 
 
-def _sides(fixed: tuple, cause: str, effect: str, pair: Column) -> Column:
-    return F.struct(*fixed, F.trim(pair[cause]).alias("cause"), F.trim(pair[effect]).alias("effect"))
-
+def causes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, relation, confidence, cause, effect): the last match of each pattern in each sentence; sides of 5 characters or more.
 
-def _over(fixed: tuple, cause: str, effect: str):  # noqa: ANN202
-    return lambda pair: _sides(fixed, cause, effect, pair)
+    Texts are cut into sentences first, as no side crosses one; a sentence without a connective is dropped before the
+    patterns run, and those are anchored, so the work is in proportion to the text.
+    """
+    cue = "(?i)\\b(?:" + "|".join(c for c, *_ in CAUSES) + "|once|if)\\b"
+    sentences = df.where(F.col(text).rlike(cue)).select(key, F.explode(F.split(text, "[.!?]+")).alias("_s")).where(F.col("_s").rlike(cue))
 
+    def side(pattern: str, group: int) -> Column:
+        return F.trim(F.regexp_extract("_s", f"(?is){pattern}", group))
 
-def causes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, relation, confidence, cause, effect): every match of every pattern; both sides of at least 5 characters."""
     found = []
-    for pattern, relation, confidence, effect_first in CAUSES:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 1).alias("a"), F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 2).alias("b"))
-        cause, effect = ("b", "a") if effect_first else ("a", "b")
-        fixed = (F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
-        found.append(F.transform(pairs, _over(fixed, cause, effect)))
-    rows = df.where(F.col(text).isNotNull()).select(key, F.explode(F.flatten(F.array(*found))).alias("m")).select(key, "m.*")
+    for word, relation, confidence, effect_first in CAUSES:
+        whole = rf"^(.+)\s+{word}\s+(.+)$"
+        one, two = side(whole, 1), side(whole, 2)
+        found.append(_cause(relation, confidence, *((two, one) if effect_first else (one, two))))
+    found += [_cause(relation, confidence, side(p, 1), side(p, 2)) for p, relation, confidence in CONDITIONS]
+    rows = sentences.select(key, F.explode(F.array(*found)).alias("m")).select(key, "m.*")
     return rows.where((F.length("cause") >= 5) & (F.length("effect") >= 5))
 
 
+def _cause(relation: str, confidence: float, cause: Column, effect: Column) -> Column:
+    return F.struct(F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"), cause.alias("cause"), effect.alias("effect"))
+
+
 def modality(text: Column) -> Column:
     out = F
     for name, pattern in (("negated", r"\b(?:not|never|no longer|cannot)\b"), ("possible", r"\b(?:may|might|could|possibly|perhaps)\b"), ("obligatory", r"\b(?:must|should|shall|required)\b"), ("planned", r"\b(?:will|plans? to|going to)\b")):

@@ -142,20 +142,8 @@ QUERIES = {
 }
 
 
-def _first(modes: list, default: str) -> str:
-    import re  # noqa: PLC0415
-
-    trim = "trim(text, ' ')"
-    cases = " ".join("WHEN regexp_matches({}, '{}', 'i') THEN '{}'".format(trim, re.sub("'", "''", p).replace(".+", r"[^\n\r\x{85}\x{2028}\x{2029}]+"), n) for n, p in modes)
-    return f"CASE {cases} ELSE '{default}' END"
-
-
-_MSG = "(SELECT segment_id, min(text) text FROM segments WHERE text IS NOT NULL GROUP BY 1)"
 _DAYS = "epoch_us(TIMESTAMPTZ '2026-06-01 00:00:00+00') - epoch_us(t)"
-_Z = "greatest(coalesce({}, 0), 0)"
 ORACLE = {
-    "classify_v1": f"SELECT {_first(T.MODES_V1, 'factual')} AS mode, count(*) n FROM {_MSG} GROUP BY 1",
-    "classify_v2": f"SELECT {_first(T.MODES_V2, 'synthesis')} AS mode, count(*) n FROM {_MSG} GROUP BY 1",
     "evidence_scores": f"""WITH p AS (SELECT DISTINCT ON (provenance_id) * FROM provenance WHERE target_type = 'entity'), b AS (SELECT target_id, coalesce(avg(confidence), 0.3) a, count(DISTINCT source_id) n, max(created_at) t, count(*) FILTER (WHERE confidence < 0.3) x, count(*) m FROM p GROUP BY 1),
         f AS (SELECT *, greatest(0.0, least(1.0, 1 - x / greatest(m, 1))) q, greatest(({_DAYS}) / 86400e6, 0) dd FROM b)
         SELECT target_id, round(greatest(0.0, least(1.0, (0.25 * a + 0.30 * least(1.0, ln(1 + n) / 1.8) + 0.15 * exp(-dd * ln(2) / 60) + 0.10 * 0.5 + 0.20 * q) * pow(q, 1.5))), 6) evidence FROM f""",

@@ -24,8 +24,9 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def plain_text(df: DataFrame) -> DataFrame:
     """Paragraphs of (source_id, content): split at blank lines, trimmed, empty ones dropped; offsets and 1-based lines."""
-    pieces = df.where(F.col("content").isNotNull()).select("source_id", "content", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)(?:(?!\n{2,}).)+"), 0)).alias("at", "raw"))
-    ahead = F.aggregate(F.slice(F.regexp_extract_all("content", F.lit(r"(?s)(?:(?!\n{2,}).)+|\n{2,}"), 0), F.lit(1), 2 * F.col("at") + F.when(F.col("content").startswith("\n\n"), 1).otherwise(0)), F.lit(0), lambda a, x: a + F.length(x))
+    every = F.regexp_extract_all("content", F.lit(r"(?s)(?:(?!\n{2,}).)+|\n{2,}"), 0)
+    pieces = df.where(F.col("content").isNotNull()).select("source_id", "content", every.alias("every")).select("source_id", "content", "every", F.posexplode("every").alias("at", "raw"))
+    ahead = F.aggregate(F.slice("every", F.lit(1), F.col("at")), F.lit(0), lambda a, x: a + F.length(x))
     text = F.regexp_replace("raw", r"^\s+|\s+$", "")
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
     rows = pieces.select("source_id", "content", "at", text.alias("text"), (ahead + lead).cast("long").alias("char_start")).where("text <> ''")

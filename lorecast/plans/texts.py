@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecast.functions import extraction as X
+from lorecast.functions import routing as Q
 from lorecast.functions import scores as C
 from lorecast.functions import text as T
 from lorecast.io import table
@@ -32,6 +33,22 @@ def classify_v2(s: SparkSession, d: str) -> DataFrame:
     return _messages(s, d).groupBy(T.first_match(F.col("text"), T.MODES_V2, "synthesis").alias("mode")).agg(F.count("*").alias("n"))
 
 
+def intents(s: SparkSession, d: str) -> DataFrame:
+    return _messages(s, d).groupBy(Q.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
+
+
+def index_routes(s: SparkSession, d: str) -> DataFrame:
+    rows = _messages(s, d).select(Q.primary_index(F.col("text")).alias("index"), Q.temporal_hint(F.col("text")).alias("hint"), F.round(F.element_at(Q.index_weights(F.col("text")), "segments"), 6).alias("segments"))
+    return rows.groupBy("index", "hint", "segments").agg(F.count("*").alias("n"))
+
+
+def corroborations(s: SparkSession, d: str) -> DataFrame:
+    """Claims (first sentences of memories) and the texts of a stated claim that support or contradict it."""
+    rows = table(s, d, "assistant_memories").where("normalized_text is not null").groupBy("memory_id").agg(F.min("normalized_text").alias("t"))
+    claim = F.lit("Restart the decay job during office hours.")
+    return rows.select("memory_id", Q.supports(claim, F.col("t"), 0.6).alias("supports"), Q.contradicts(claim, F.col("t")).alias("contradicts")).where("supports or contradicts")
+
+
 def session_states(s: SparkSession, d: str) -> DataFrame:
     return _messages(s, d).groupBy(T.best_state(F.col("text")).alias("state")).agg(F.count("*").alias("n"))
 
@@ -136,14 +153,18 @@ def stream_hours(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_v1, classify_v2, session_states, specificity, causal_pairs, causal_merge, claims_spo, procedure_steps, text_dates, temporal_vector, evidence_scores, memory_decay,
+        classify_v1, classify_v2, intents, index_routes, corroborations, session_states, specificity, causal_pairs, causal_merge, claims_spo, procedure_steps, text_dates, temporal_vector, evidence_scores, memory_decay,
         entity_promotion, segment_importance, chunk_segments, topic_episodes, plain_paragraphs, markdown_segments, stream_sessions, stream_hours,
     )
 }
 
 
 _DAYS = "epoch_us(TIMESTAMPTZ '2026-06-01 00:00:00+00') - epoch_us(t)"
+_WORDS = "list_distinct(list_filter(string_split(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 ORACLE = {
+    "corroborations": f"""WITH m AS (SELECT memory_id, min(normalized_text) t FROM assistant_memories WHERE normalized_text IS NOT NULL GROUP BY 1), c AS (SELECT {_WORDS.format("'Restart the decay job during office hours.'")} c),
+        x AS (SELECT memory_id, t, {_WORDS.format("t")} w, c FROM m, c), y AS (SELECT memory_id, len(list_intersect(c, w)) / (len(c) + len(w) - len(list_intersect(c, w))) >= 0.6 supports, len(list_intersect(c, w)) / len(c) > 0.3 AND regexp_matches(t, '(?i)\\b(?:not|never|no longer|doesn''t|don''t|isn''t|wasn''t|false|incorrect)\\b') contradicts FROM x)
+        SELECT * FROM y WHERE supports OR contradicts""",
     "evidence_scores": f"""WITH p AS (SELECT DISTINCT ON (provenance_id) * FROM provenance WHERE target_type = 'entity'), b AS (SELECT target_id, coalesce(avg(confidence), 0.3) a, count(DISTINCT source_id) n, max(created_at) t, count(*) FILTER (WHERE confidence < 0.3) x, count(*) m FROM p GROUP BY 1),
         f AS (SELECT *, greatest(0.0, least(1.0, 1 - x / greatest(m, 1))) q, greatest(({_DAYS}) / 86400e6, 0) dd FROM b)
         SELECT target_id, round(greatest(0.0, least(1.0, (0.25 * a + 0.30 * least(1.0, ln(1 + n) / 1.8) + 0.15 * exp(-dd * ln(2) / 60) + 0.10 * 0.5 + 0.20 * q) * pow(q, 1.5))), 6) evidence FROM f""",

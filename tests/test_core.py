@@ -138,3 +138,22 @@ def test_web_query(spark):
     assert find('"night cycle"') == {1}
     assert find("night OR drift") == {1, 2, 3}
     assert find("cycle -stopped") == {2}
+
+
+def test_routing(spark):
+    from lorecast.functions import routing
+
+    q = lambda t: F.lit(t)
+    assert one(spark, routing.intent(q("Please fix the bug, the build is broken"))) == "debugging"
+    assert one(spark, routing.intent(q("hello"))) == "default"
+    assert one(spark, routing.primary_index(q("why did it stop"))) == "causal"
+    weights = one(spark, routing.index_weights(q("why did it stop")))
+    assert sum(weights.values()) == pytest.approx(1)
+    assert one(spark, routing.temporal_hint(q("the latest run"))) == "recent"
+    ids = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    assert one(spark, routing.feedback(q("that's wrong"), ids("a"), ids("a"))).outcome == "corrected"
+    assert one(spark, routing.feedback(q("next question"), ids("a"), ids("a"))).outcome == "used"
+    assert one(spark, routing.supports(q("a b c d"), q("A b c. D")))
+    assert one(spark, routing.contradicts(q("the disk is full"), q("The disk is not full")))
+    assert not one(spark, routing.contradicts(q("the disk is not full"), q("The disk is not full")))
+    assert len(one(spark, routing.space_weights(q("planning")))) == 6

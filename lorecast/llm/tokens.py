@@ -113,8 +113,17 @@ def merge_word(word: Column, rank: Rank) -> Column:
     return F.when(size == 1, F.array(rank(word))).otherwise(F.transform(folded, rank))
 
 
+def _short_descriptions(spark: SparkSession) -> None:
+    """Keeps the literal out of the plan descriptions that the driver stores, unless the session limits them already."""
+    name = "spark.sql.maxPlanStringLength"
+    found = spark.conf.get(name).rstrip("b")
+    if found.isdigit() and int(found) > 1 << 24:
+        spark.conf.set(name, str(1 << 16))
+
+
 def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
     """(key, ids) of every row of df, without special tokens."""
+    _short_descriptions(df.sparkSession)
     ranked = RankMap(ranks)
     rows = df.select(df[key].alias("key"), df[text].alias("text")).withColumn("hash", F.xxhash64("text"))
     full = rows.where(F.length("text") > 0)

@@ -5,6 +5,8 @@ Only the number of rows of a frontier reaches the driver. Depths are bounded as
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +47,35 @@ def shortest_path(edges: DataFrame, a: str, b: str, start: str, goal: str, depth
     return front.where(F.col("node") == goal).select(F.posexplode("path").alias("place", "node"))
 
 
+def two_hop_counts(both: DataFrame, block: int = 4096) -> DataFrame:
+    """(node, two_hop): distinct nodes two hops away that are neither the node nor next to it, of distinct (src, dst) in both directions.
+
+    Nodes are dealt into blocks of about `block`. A node in the middle sends its neighbours once a pair of the blocks they are in, as
+    two lists, so one of degree d costs at most 2 * d * blocks numbers instead of d * d rows; each pair of blocks is one bit matrix.
+    """
+    nodes = cut(both.select(F.col("src").alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    blocks = max(1, -(-nodes.count() // block))
+    ids = both.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst")
+    lists = cut(ids.groupBy(F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("part")).agg(F.collect_list("b").alias("near")))
+    pairs = lists.select("k", F.col("part").alias("r"), F.col("near").alias("x")).join(lists.select("k", F.col("part").alias("c"), F.col("near").alias("y")), "k").select("r", "c", "x", "y", F.lit(False).alias("next"))
+    direct = lists.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("r"), F.col("part").alias("c"), F.array("k").alias("x"), F.col("near").alias("y"), F.lit(True).alias("next"))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        xs, x = np.unique(np.concatenate(group["x"].tolist()), return_inverse=True)
+        ys, y = np.unique(np.concatenate(group["y"].tolist()), return_inverse=True)
+        xs_at, ys_at = (np.split(at, np.cumsum(group[c].map(len))[:-1]) for c, at in (("x", x), ("y", y)))
+        far = np.zeros((len(xs), len(ys)), dtype=bool)
+        order = np.argsort(group["next"].to_numpy(), kind="stable")  # direct neighbours last, as they are taken away
+        for i, one in zip(order, group["next"].to_numpy()[order], strict=True):
+            far[xs_at[i][:, None], ys_at[i]] = not one
+        _, i, j = np.intersect1d(xs, ys, return_indices=True)
+        far[i, j] = False
+        return pd.DataFrame({"id": xs, "n": far.sum(axis=1)})
+
+    found = pairs.unionByName(direct).groupBy("r", "c").applyInPandas(count, "id bigint, n bigint")
+    return found.groupBy("id").agg(F.sum("n").alias("two_hop")).where("two_hop > 0").join(nodes, "id").select("node", "two_hop")
+
+
 def fingerprints(edges: DataFrame, types: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree, kinds, two_hop): of (src, dst, type) edges and (node, kind) nodes.
 
@@ -55,8 +86,7 @@ def fingerprints(edges: DataFrame, types: DataFrame) -> DataFrame:
     both = undirected(edges, "src", "dst").distinct()
     kinds = both.join(types, F.col("dst") == F.col("node")).groupBy("src", "kind").agg(F.count("*").alias("n")).groupBy(F.col("src").alias("node"))
     kinds = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
-    far = both.alias("x").join(both.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst").distinct()
-    two = far.join(both, ["src", "dst"], "left_anti").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("two_hop"))
+    two = two_hop_counts(both)
     nodes = both.select(F.col("src").alias("node")).distinct()
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree", "two_hop")}
     return nodes.join(out, "node", "left").join(into, "node", "left").join(kinds, "node", "left").join(two, "node", "left").select("node", *zero.values(), "kinds")

@@ -16,29 +16,24 @@ def supply(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "n", (F.col("q") / 500).alias("weight"))
 
 
-def rare(spark: SparkSession, folder: str) -> DataFrame:
-    """A sparser graph: pairs with a quantity above 75."""
-    return supply(spark, folder).where("weight > 0.15")
-
-
 def seeds(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
 def neighbours2(s: SparkSession, d: str) -> DataFrame:
-    return G.neighbourhood(rare(s, d), "src", "dst", seeds(s, "s1", "s2"), 2)
+    return G.neighbourhood(supply(s, d), "src", "dst", seeds(s, "s1", "s2"), 2)
 
 
 def explore4(s: SparkSession, d: str) -> DataFrame:
-    return G.neighbourhood(rare(s, d), "src", "dst", seeds(s, "s3"), 4).groupBy("hop").agg(F.count("*").alias("n"))
+    return G.neighbourhood(supply(s, d), "src", "dst", seeds(s, "s3"), 4).groupBy("hop").agg(F.count("*").alias("n"))
 
 
 def shortest_path(s: SparkSession, d: str) -> DataFrame:
-    return G.shortest_path(rare(s, d), "src", "dst", "s1", "s7")
+    return G.shortest_path(supply(s, d), "src", "dst", "s1", "s7")
 
 
 def fingerprint(s: SparkSession, d: str) -> DataFrame:
-    edges = rare(s, d).select("src", "dst", F.lit("USES").alias("type"))
+    edges = supply(s, d).select("src", "dst", F.lit("USES").alias("type"))
     types = table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.substring("p_brand", 1, 7).alias("kind")).unionByName(
         table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit("supplier").alias("kind")))
     return G.fingerprints(edges, types).select("node", "in_degree", "out_degree", "two_hop", F.size("kinds").alias("n_kinds"))
@@ -69,7 +64,7 @@ def provenance_chain(s: SparkSession, d: str) -> DataFrame:
 
 
 def beam_paths(s: SparkSession, d: str) -> DataFrame:
-    e = rare(s, d).select("src", "dst", F.lit("USES").alias("type"), "weight", F.lit(0.9).alias("confidence"))
+    e = supply(s, d).select("src", "dst", F.lit("USES").alias("type"), "weight", F.lit(0.9).alias("confidence"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight", "confidence"))
     anchors = s.createDataFrame([("s1", 1.0), ("s2", 0.9)], "node string, score double")
     return G.beam(both, anchors, 2, 20, 5).select(F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"))
@@ -84,7 +79,7 @@ def components(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_rank(s: SparkSession, d: str) -> DataFrame:
-    return G.page_rank(rare(s, d).select("src", "dst"), 3).select("node", F.round("rank", 6).alias("rank")).orderBy(F.col("rank").desc(), "node").limit(50)
+    return G.page_rank(supply(s, d).select("src", "dst"), 3).select("node", F.round("rank", 12).alias("r")).orderBy(F.col("r").desc(), "node").limit(50).select("node", F.round("r", 6).alias("rank"))
 
 
 def connected_entities(s: SparkSession, d: str) -> DataFrame:

@@ -101,6 +101,44 @@ def multiset_jaccard(counts: DataFrame, node: str, key: str, n: str, pairs: Data
     return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(1.0)).alias("similarity"))
 
 
+def most_similar(counts: DataFrame, nodes: DataFrame, node: str, key: str, n: str, least: float = 0.3, most: int = 20, block: int = 2048) -> DataFrame:
+    """(a, b, similarity): of each of the nodes the `most` others with the highest multiset Jaccard of at least `least`, ties by b.
+
+    All pairs are compared, as in multiset_jaccard, one matrix a pair of blocks of about `block` nodes; a block keeps its best only.
+    """
+    kind = nodes.schema[node].dataType.simpleString()
+    held = counts.groupBy(node).agg(F.collect_list(key).alias("keys"), F.collect_list(n).alias("ns"))
+    rows = cut(nodes.select(node).distinct().join(held, node, "left"))
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(node), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    left = rows.select(F.col("part").alias("r"), every.alias("c"), F.lit(True).alias("left"), node, "keys", "ns")
+    right = rows.select(every.alias("r"), F.col("part").alias("c"), F.lit(False).alias("left"), node, "keys", "ns")
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (group[group["left"] == side].sort_values(node, ignore_index=True) for side in (True, False))
+        flat = [side[[node, "keys", "ns"]].dropna().explode(["keys", "ns"]).reset_index(names="at") for side in (a, b)]
+        total = [np.bincount(f["at"].astype(int), f["ns"].astype(float), len(side)) for f, side in zip(flat, (a, b), strict=True)]
+        both = np.zeros((len(a), len(b)))
+        by = [{k: (g["at"].to_numpy(int), g["ns"].to_numpy(float)) for k, g in f.groupby("keys")} for f in flat]
+        for k in by[0].keys() & by[1].keys():
+            (i, x), (j, y) = by[0][k], by[1][k]
+            both[i[:, None], j] += np.minimum(x[:, None], y)
+        union = total[0][:, None] + total[1] - both
+        score = np.where(union > 0, both / np.where(union > 0, union, 1), 1.0)
+        out = []
+        names = b[node].to_numpy()
+        for i, one in enumerate(a[node]):
+            kept = np.flatnonzero((score[i] >= least) & (names != one))
+            kept = kept[np.argsort(-score[i][kept], kind="stable")[:most]]
+            out.append(pd.DataFrame({"a": [one] * len(kept), "b": names[kept], "similarity": score[i][kept]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    found = left.unionByName(right).groupBy("r", "c").applyInPandas(best, f"a {kind}, b {kind}, similarity double")
+    w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def strongest_chain(edges: DataFrame, start: DataFrame, depth: int, width: int) -> DataFrame:
     """(root, node, hop, strength): from each start node the `width` strongest edges (src, dst, strength) a hop and node.
 

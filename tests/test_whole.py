@@ -75,3 +75,26 @@ def test_paths_and_ranks_use_the_whole_graph(spark, near):
         ranks = {k: 0.15 / n + 0.85 * loose / n + 0.85 * got[k] for k in near}
     best = sorted(((k, round(v, 12)) for k, v in ranks.items()), key=lambda x: (-x[1], x[0]))[:50]
     assert {r.node: r["rank"] for r in graphs.page_rank(spark, FOLDER).collect()} == pytest.approx({k: v for k, v in best}, abs=2e-6)
+
+
+def test_similarity_compares_every_supplier(spark):
+    rows = duckdb.sql(f"SELECT l_suppkey, p_brand, count(*) FROM '{FOLDER}/lineitem.parquet' JOIN '{FOLDER}/part.parquet' ON l_partkey = p_partkey GROUP BY 1, 2").fetchall()
+    names = [r[0] for r in duckdb.sql(f"SELECT s_suppkey FROM '{FOLDER}/supplier.parquet'").fetchall()]
+    counts = defaultdict(dict)
+    for node, key, n in rows:
+        counts[node][key] = n
+
+    def score(a, b):
+        x, y = counts[a], counts[b]
+        most = sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
+        return sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) / most if most else 1.0
+
+    want = {}
+    for a in names:
+        near = sorted(((-score(a, b), b) for b in names if b != a and score(a, b) >= 0.3))[:20]
+        want |= {(a, b): round(-x, 6) for x, b in near}
+    assert {(r.a, r.b): r.similarity for r in graphs.fp_similarity(spark, FOLDER).collect()} == pytest.approx(want, abs=1e-6)
+    small = spark.createDataFrame([(i, k, i % 3 + k % 2 + 1) for i in range(12) for k in range(i % 5)], "node int, k int, n int")
+    nodes = spark.createDataFrame([(i,) for i in range(14)], "node int")
+    runs = [{tuple(r) for r in graph.most_similar(small, nodes, "node", "k", "n", 0.3, 3, block).collect()} for block in (100, 3)]
+    assert runs[0] == runs[1] and (12, 0, 1.0) in runs[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,39 +14,43 @@ from pyspark.sql.window import Window
 LEADERS = "tenant string, member string, leader string, similarity double"
 
 
-def leader_clusters(df: DataFrame, tenant: str, key: str, vector: str, least: float = 0.8, most: int = 50, batch: int = 500) -> DataFrame:
-    """(tenant, member, leader, similarity): greedy leader clusters in order of key, in batches of a tenant.
+def leader_clusters(df: DataFrame, tenant: str, key: str, vector: str, least: float = 0.8, most: int = 50) -> DataFrame:
+    """(tenant, member, leader, similarity): greedy leader clusters of each whole tenant in order of key.
 
-    A row joins the most similar leader with a cosine of at least `least` and fewer than `most` members, else it leads. A tenant is
-    dealt by hash into batches of about `batch` rows, so no task holds a tenant of any size.
+    A row joins the most similar leader with a cosine of at least `least` and fewer than `most` members, else it leads. Each row depends
+    on those before it, so a tenant is one stream of rows, sorted with spilling; held are the vectors of leaders that are not full.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(tenant).cast("string").alias("tenant"), F.col(key).cast("string").alias("member"), F.col(vector).alias("v"))
-    size = rows.groupBy(F.col("tenant").alias("_t")).agg(F.ceil(F.count("*") / batch).alias("parts"))
-    dealt = rows.join(size, F.col("tenant").eqNullSafe(F.col("_t"))).select("tenant", "member", "v", F.pmod(F.xxhash64("member"), "parts").alias("part"))
-
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("member", ignore_index=True)
-        x = np.array(group["v"].tolist(), dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        leaders: list[int] = []
-        held: list[int] = []
-        out = []
-        for i in range(len(group)):
-            score = x[leaders] @ x[i] if leaders else np.zeros(0)
-            open_ = [j for j in np.argsort(-score, kind="stable") if score[j] >= least and held[j] < most]
-            if open_:
-                j = int(open_[0])
-                held[j] += 1
-                out.append((leaders[j], float(score[j])))
-            else:
-                leaders.append(i)
-                held.append(1)
-                out.append((i, 1.0))
-        group["leader"] = [group["member"][j] for j, _ in out]
-        group["similarity"] = [round(s, 6) for _, s in out]
-        return group[["tenant", "member", "leader", "similarity"]]
-
-    return dealt.groupBy("tenant", "part").applyInPandas(lead, LEADERS)
+    dealt = rows.repartition("tenant").sortWithinPartitions("tenant", "member")
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: object = lead  # no tenant yet
+        for batch in batches:
+            x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(len(batch), -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            out = []
+            for i, (group, member) in enumerate(zip(batch["tenant"], batch["member"], strict=True)):
+                if group != now:
+                    now, names, held, open_ = group, [], [], np.empty((16, x.shape[1]))
+                score = open_[: len(names)] @ x[i]
+                j = int(np.argmax(score)) if names else -1
+                if j >= 0 and score[j] >= least:
+                    held[j] += 1
+                    out.append((names[j], round(float(score[j]), 6)))
+                    if held[j] >= most:
+                        open_[j : len(names) - 1] = open_[j + 1 : len(names)].copy()
+                        del names[j], held[j]
+                else:
+                    out.append((member, 1.0))
+                    if most > 1:
+                        if len(names) == len(open_):
+                            open_ = np.concatenate([open_, np.empty_like(open_)])
+                        open_[len(names)] = x[i]
+                        names.append(member)
+                        held.append(1)
+            yield pd.DataFrame({"tenant": batch["tenant"], "member": batch["member"], "leader": [n for n, _ in out], "similarity": [s for _, s in out]})
+
+    return dealt.mapInPandas(lead, LEADERS)
 
 
 def stability(n: Column, mean_distance: Column, least: int = 3) -> Column:

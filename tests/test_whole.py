@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from lorecast.operators import graph
+from lorecast.operators import graph, memory
 from lorecast.plans import graphs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -98,3 +99,21 @@ def test_similarity_compares_every_supplier(spark):
     nodes = spark.createDataFrame([(i,) for i in range(14)], "node int")
     runs = [{tuple(r) for r in graph.most_similar(small, nodes, "node", "k", "n", 0.3, 3, block).collect()} for block in (100, 3)]
     assert runs[0] == runs[1] and (12, 0, 1.0) in runs[0]
+
+
+def test_leaders_are_shared_by_a_whole_tenant(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(40, 8))[rng.integers(0, 40, 1500)] + 0.2 * rng.normal(size=(1500, 8))).tolist()
+    names = [f"m{i:05d}" for i in rng.permutation(1500)]
+    df = spark.createDataFrame([("t" if i % 5 else None, n, v) for i, (n, v) in enumerate(zip(names, x, strict=True))], "tenant string, id string, v array<double>")
+    want = {}
+    for tenant in ("t", None):
+        rows = sorted((n, np.array(v) / np.linalg.norm(v)) for i, (n, v) in enumerate(zip(names, x, strict=True)) if (i % 5 > 0) == (tenant == "t"))
+        leaders = []
+        for n, v in rows:
+            score, _, one = max(((float(u @ v), -j, g) for j, (u, g) in enumerate(leaders) if len(g) < 50), default=(-1, 0, None), key=lambda s: s[:2])
+            if score < 0.8:
+                leaders.append((v, one := []))
+            one.append(n)
+            want[n] = one[0]
+    assert {r.member: r.leader for r in memory.leader_clusters(df, "tenant", "id", "v").collect()} == want

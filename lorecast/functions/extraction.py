@@ -14,6 +14,13 @@ CAUSES = [
 ]
 # Patterns that open with a condition or a time.
 CONDITIONS = [(r"\bonce\s+([^,]+),\s*(.+)$", "temporal_effect", 0.65), (r"\bif\s+([^,]+),\s+then\s+(.+)$", "conditional", 0.60)]
+# Words that qualify a claim, and phrases that say when it holds.
+QUALIFIERS = r"\b(significant|major|minor|partial|complete|total|substantial|considerable|limited|extensive|moderate|strong|weak|full|primary|secondary|key|critical|essential|fundamental)\b"
+SCOPES = (
+    r"\b(in \d{4}|during \d{4}s?|since \d{4}|from \d{4}|until \d{4}|before \d{4}|after \d{4}|through \d{4}|by \d{4}|in the \d{4}s|during the \w+ century|"
+    r"in (?:january|february|march|april|may|june|july|august|september|october|november|december)(?: \d{4})?|"
+    r"during the (?:first|second|third) (?:world war|war)|in (?:early|mid|late) \d{4}s?|beginning in \d{4}|ending in \d{4})\b"
+)
 
 
 def causes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,13 +56,28 @@ def modality(text: Column) -> Column:
     return out.otherwise("asserted")
 
 
+def qualifiers(text: Column) -> Column:
+    """The first five qualifying words of a text, in lower case, once each."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(QUALIFIERS), 1)), 1, 5)
+
+
+def temporal_scope(text: Column) -> Column:
+    """The first phrase of a text that states a time, as it stands there; null without one."""
+    return F.nullif(F.regexp_extract(text, f"(?i){SCOPES}", 1), F.lit(""))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, without empty ones."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s"), lambda x: F.trim(x) != "")
+
+
 def claim(text: Column) -> Column:
-    """Subject, predicate and object by ordered verbs, with modality and confidence (0.7 if a verb was found, else 0.3)."""
+    """Subject, predicate and object by ordered verbs, with modality, confidence (0.7 if a verb was found, else 0.3), qualifiers and temporal scope."""
     one = F.regexp_replace(F.trim(text), r"[.!?]+$", "")
     patterns = [r"^(.+?) (is|are|was|were) (.+)$", r"^(.+?) (has|have|had|holds|keeps) (.+)$", r"^(.+?) (uses|runs|needs|sends|depends on|replaced|replaces) (.+)$", r"^(.+?) (\w+(?:s|ed)) (.+)$"]
     part = lambda g: F.coalesce(*[F.nullif(F.regexp_extract(one, f"(?i){p}", g), F.lit("")) for p in patterns])
     subject = part(1)
-    return F.struct(subject.alias("subject"), F.lower(part(2)).alias("predicate"), part(3).alias("object"), modality(text).alias("modality"), F.when(subject.isNotNull(), 0.7).otherwise(0.3).alias("confidence"))
+    return F.struct(subject.alias("subject"), F.lower(part(2)).alias("predicate"), part(3).alias("object"), modality(text).alias("modality"), F.when(subject.isNotNull(), 0.7).otherwise(0.3).alias("confidence"), qualifiers(text).alias("qualifiers"), temporal_scope(text).alias("temporal_scope"))
 
 
 def steps(text: Column) -> Column:

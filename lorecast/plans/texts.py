@@ -70,8 +70,10 @@ def causal_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def claims_spo(s: SparkSession, d: str) -> DataFrame:
+    """One claim a sentence of each memory, with the sentence's place."""
     rows = table(s, d, "assistant_memories").where("normalized_text is not null").groupBy("memory_id").agg(F.min("normalized_text").alias("t"))
-    return rows.select("memory_id", X.claim(F.split("t", r"(?<=[.!?])\s")[0]).alias("c")).select("memory_id", "c.*")
+    each = rows.select("memory_id", F.posexplode(X.sentences(F.col("t"))).alias("place", "t"))
+    return each.select("memory_id", "place", X.claim(F.col("t")).alias("c")).select("memory_id", "place", "c.*")
 
 
 def procedure_steps(s: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lorecast.functions import extraction
 from lorecast.operators import graph, memory
-from lorecast.plans import graphs
+from lorecast.plans import graphs, texts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -117,3 +120,11 @@ def test_leaders_are_shared_by_a_whole_tenant(spark):
             one.append(n)
             want[n] = one[0]
     assert {r.member: r.leader for r in memory.leader_clusters(df, "tenant", "id", "v").collect()} == want
+
+
+def test_claims_of_every_sentence(spark):
+    row = spark.range(1).select(F.transform(extraction.sentences(F.lit("The store uses a major disk, a full one. It is not empty!  Ann was here in June 2021")), extraction.claim).alias("c")).first()
+    assert [(c.subject, c.predicate, c.modality, c.qualifiers, c.temporal_scope) for c in row.c] == [
+        ("The store", "uses", "asserted", ["major", "full"], None), ("It", "is", "negated", [], None), ("Ann", "was", "asserted", [], "in June 2021")]
+    memories = duckdb.sql(f"SELECT min(normalized_text) FROM '{FOLDER}/assistant_memories.parquet' WHERE normalized_text IS NOT NULL GROUP BY memory_id").fetchall()
+    assert texts.claims_spo(spark, FOLDER).count() == sum(bool(x.strip()) for (t,) in memories for x in re.split(r"(?<=[.!?])\s", t))

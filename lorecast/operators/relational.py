@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorecast.functions.text import trigrams
+from lorecast.plans.materialize import cut
 
 
 def bitemporal(event_time: str, ingested_at: str, event: tuple | None = None, ingested: tuple | None = None) -> Column:
@@ -74,14 +75,25 @@ def cooccurrence(df: DataFrame, group: str, item: str, least: int) -> DataFrame:
     return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
+def ranked(df: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """(key, name): the place of each row in order of `by`, greatest first, then key.
+
+    Rows are sorted by range; a row's place is its place in its range plus the rows of the ranges before, so no task sorts them all.
+    """
+    rows = cut(df.select(key, by).orderBy(F.col(by).desc(), key)).select(key, F.monotonically_increasing_id().alias("_i"))
+    rows = rows.select(key, F.shiftright("_i", 33).alias("_p"), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    size = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
+    before = size.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_p").select(key, (F.col("_before") + F.col("_i") + 1).alias(name))
+
+
 def rank_correlation(left: DataFrame, right: DataFrame, key: str, by_left: str, by_right: str) -> DataFrame:
-    """(n, rho): Spearman's correlation of two cut lists over common keys; null below three."""
-    one, two = Window.orderBy(F.col(by_left).desc(), key), Window.orderBy(F.col(by_right).desc(), key)
-    a = left.select(key, F.row_number().over(one).alias("x"))
-    b = right.select(key, F.row_number().over(two).alias("y"))
-    d = F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))
+    """(n, rho): Spearman's correlation of two lists over common keys; null below three."""
+    gap = F.col("x").cast("double") - F.col("y")  # squares of long ranks would overflow
     n = F.count("*")
-    return a.join(b, key).agg(n.alias("n"), F.when(n >= 3, F.round(1 - 6 * F.try_divide(d, n * (n * n - 1)), 6)).alias("rho"))
+    d, m = F.sum(gap * gap), n.cast("double")
+    both = ranked(left, key, by_left, "x").join(ranked(right, key, by_right, "y"), key)
+    return both.agg(n.alias("n"), F.when(n >= 3, F.round(1 - 6 * F.try_divide(d, m * (m * m - 1)), 6)).alias("rho"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lorecast.functions import extraction
 from lorecast.operators import graph, memory
-from lorecast.plans import graphs, texts
+from lorecast.operators.relational import ranked
+from lorecast.plans import graphs, relational, texts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -128,3 +129,12 @@ def test_claims_of_every_sentence(spark):
         ("The store", "uses", "asserted", ["major", "full"], None), ("It", "is", "negated", [], None), ("Ann", "was", "asserted", [], "in June 2021")]
     memories = duckdb.sql(f"SELECT min(normalized_text) FROM '{FOLDER}/assistant_memories.parquet' WHERE normalized_text IS NOT NULL GROUP BY memory_id").fetchall()
     assert texts.claims_spo(spark, FOLDER).count() == sum(bool(x.strip()) for (t,) in memories for x in re.split(r"(?<=[.!?])\s", t))
+
+
+def test_spearman_ranks_all_customers(spark):
+    want = duckdb.sql(f"""WITH o AS (SELECT o_custkey k, count(*) n, sum(o_totalprice) v FROM '{FOLDER}/orders.parquet' GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY n DESC, k) x, row_number() OVER (ORDER BY v DESC, k) y FROM o)
+        SELECT count(*), 1 - 6 * sum((x - y) * (x - y)) / (count(*) * (count(*) * count(*) - 1)) FROM r""").fetchall()[0]
+    assert tuple(relational.spearman(spark, FOLDER).first()) == pytest.approx(want, abs=1e-6)
+    rows = [(i, i * 7919 % 1000) for i in range(5000)]
+    got = {r.k: r.r for r in ranked(spark.createDataFrame(rows, "k int, v int"), "k", "v", "r").collect()}
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}

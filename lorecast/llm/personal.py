@@ -83,12 +83,12 @@ INITIAL_AFTER = re.compile(
     r"^(?:[ ]?(?:from|weitergeben|signed|is|wants|prefers|owns|about|on|moved|lives|and)\b|[ ]?[;,.\n(]|$)", re.I
 )
 
-_TLD = r"(?:com|org|net|edu|gov|info|test|example|invalid|io|de|fr|es|uk|eu|co|jp|us|ch|at|nl|local|localhost|dev|app|cloud)"
+_TLD = r"[A-Za-z]{2,}"
 _BOX = r"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ_%+'-]|\.(?=[A-Za-z0-9_+-]))*"
 _AT = r"(?:@|＠|[ ]?[(\[{<](?:at|arobase|arroba|AT|At|ät)[)\]}>][ ]?|[ ](?:at|AT|arobase|arroba)[ ])"
 _DOT = r"(?:\.|．|[ ]?[(\[{<](?:dot|punkt|point|punto|DOT|Dot)[)\]}>][ ]?|[ ](?:dot|DOT|punkt|point|punto)[ ])"
 MAIL = re.compile(rf"(?<![\w.@+%-])({_BOX})({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}{_TLD}(?:\.[a-z]{{2}})?)(?![\w-]|\.\w)", re.I)
-SPOKEN = re.compile(r"[(\[{<](?:at|arobase|arroba|ät)[)\]}>]|[ ](?:at|arobase|arroba)[ ]\w+[ ](?:dot|punkt|point|punto)[ ]|[@＠]", re.I)
+SPOKEN = re.compile(_AT, re.I)
 
 NUMBER = re.compile(r"(?<![\w.,:/@=#+-])(?<![+(]\b)(?:\+\d{1,3}|\(\d{2,5}\)|\d)(?:[ . /-]?(?:\(\d{1,4}\)|\d)){6,15}(?![\w@]|[.,:/-]\d)|(?<==)(?:\+\d{1,3}|\(\d{2,5}\)|\d)(?:[ . -]?(?:\(\d{1,4}\)|\d)){6,15}(?![\w@]|[.,:/-]\d)")
 PHONES = [  # (form, score)
@@ -144,19 +144,13 @@ ADDRESSES = [
 ]
 ADDRESS_UPPER = re.compile(rf"(?<![\w.,:/#-])\d{{1,5}}[A-Za-z]?[ ](?:[NSEW]\.?[ ])?(?:[A-Z][A-Z'’-]+[ ]){{1,3}}(?:{_STREET.upper()})\b")
 ADDRESS_WORDS = re.compile(r"address|adresse|lives|live at|moved|deliver|flat|office|ship|posted|home|badge|wohn|direcci|domicil|post|meeting|visit|care of", re.I)
-#: Cues that make a text worth a closer look, each with the kind of search it starts.
-NAME, STREET, ID = 0, 1, 2
-CUES = {
-    f" {w.lower()}{end}": STREET for w in _STREET.split("|") for end in (" ", ".", ",", ";", ":", ")", "\n", "\r")
-} | dict.fromkeys(
-    ["straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "ufer ", "damm ", "ring ", "steig ", "stieg ", "chaussee ", "am ", "rue ",
-     " avenue ", " boulevard ", " place ", " chemin ", " impasse ", "allée ", " quai ", " route ", " cours ", " passage ", " square ", "calle ",
-     "avenida ", "avda", "plaza ", "paseo ", "camino ", "carrera ", "ronda ", "travesía ", "c/"], STREET
-) | dict.fromkeys(
+#: Cues that make a text worth a search for numbers of documents, beside the words of ID_WORDS.
+NAME, ID = 0, 1
+CUES = dict.fromkeys(
     ["passport", "passeport", "reisepass", "pasaporte", "licen", "permis ", "führerschein", "social", "sécurité", "seguridad", "sozialvers",
      "insurance", "steuer", "tax ", "fiscal", "ident", "national", "ausweis", "ssn", "nino", " dni", " nie", " nif", "documento", "id ", "id:", "aadhaar", "applicant", "マイナンバー", "旅券", "免許"], ID
 )
-_STREET_END = re.compile(rf" (?:{_STREET})$", re.I)
+_DIGIT = re.compile(r"\d")
 #: Seven digits with at most one sign between two of them.
 _DIGITS = re.compile(r"\d(?:[ .()/-]{0,3}\d){6}")
 
@@ -311,20 +305,18 @@ def find_items(text: str | None, given: tuple[str, ...] = tuple(GIVEN)) -> list[
     if not text:
         return []
     hits: list[tuple[int, str]] = []
-    streets = ids = False
+    ids = False
     for end, (kind, cue) in _names(given).iter(_lower(text)):
         if kind == NAME:
             hits.append((end, cue))
-        elif kind == STREET:
-            streets = True
         else:
             ids = True
     found = [*_mails(text), *_people(text, hits)]
-    if ids:
+    if ids or IDNO.search(text) and ID_WORDS.search(text):
         found += _ids(text)
     if _DIGITS.search(text):
         found += _phones(text)
-    if streets or _STREET_END.search(text[-16:]):
+    if _DIGIT.search(text):  # every form of an address has a number
         found += _addresses(text)
     found = sorted((x for x in found if x[3] >= THRESHOLD), key=lambda x: (-x[3], x[0] - x[1], x[0]))
     kept: list[tuple[int, int, str, float]] = []

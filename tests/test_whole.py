@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorecast.functions import extraction
+from lorecast.llm.personal import find_items
 from lorecast.operators import graph, memory
 from lorecast.operators.relational import ranked
 from lorecast.plans import graphs, relational, texts
@@ -138,3 +139,11 @@ def test_spearman_ranks_all_customers(spark):
     rows = [(i, i * 7919 % 1000) for i in range(5000)]
     got = {r.k: r.r for r in ranked(spark.createDataFrame(rows, "k int, v int"), "k", "v", "r").collect()}
     assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+
+
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("Er wohnt Unter den Linden 77 in Berlin.", "address", "Unter den Linden 77"), ("Is it 12 Oak Street?", "address", "12 Oak Street"), ('"12 Oak Lane"', "address", "12 Oak Lane"),
+    ("DNI: 12345678Z", "idno", "12345678Z"), ("Write to jane at host (dot) org today.", "email", "jane at host (dot) org"), ("Write to jane@host.museum today.", "email", "jane@host.museum"),
+])
+def test_no_search_for_personal_data_is_switched_off(text, kind, found):
+    assert (kind, found) in {(k, text[a:b]) for a, b, k, _ in find_items(text)}

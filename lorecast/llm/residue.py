@@ -1,16 +1,19 @@
 r"""Problem 8: template residue, filler, error pages and demands for scripts.
 
-A text is cut into passages (lines, then sentences, markup and speaker labels removed). A positive-unlabelled naive
-Bayes model scores passages: those of trusted records (short ones that are an error reply, a notice or a placeholder as
-a whole) are the positives, all other passages are unlabelled, and expectation-maximization re-estimates which
-of those are residue. Passages above CUT go on to an exact check that tells residue from text that quotes it, shows it as
-code or writes about it; a record is residue if one of its passages is.
-
-The model is fitted on at most TRUSTED positive and UNLABELLED other passages, drawn by hash; every passage of every
-text is scored. Scoring needs no shuffle.
+A text is cut into passages (lines, then sentences, markup and speaker labels removed; an unfilled field with its
+neighbours is a passage of its own, since the sentence around it is ordinary). A positive-unlabelled naive Bayes model
+scores passages: those of trusted records (records of which at least half the passages match the seeding patterns, that
+is error replies, notices and placeholders as a whole) that match are the positives, all other passages are unlabelled,
+and expectation-maximization re-estimates which of those are residue. Features are hashed words, pairs of words, and
+the shape of a passage; what is quoted is masked, and code says that it is code, so that the model can tell text that
+shows residue from residue. The seeding patterns are used for the sample only: what decides is the model, over all
+passages. A record is residue if the probability that any of its passages is reaches one half.
+
+The model is fitted on the passages of at most SAMPLE records, drawn by hash; every passage of every text is scored.
+Scoring needs no shuffle.
 
 Defined cases: null, empty and blank texts aren't residue; rows with a null key are judged like others; repeated rows
-are judged alike; without any trusted passage every passage goes to the exact check.
+are judged alike; without any trusted passage nothing is residue.
 """
 
 from __future__ import annotations
@@ -27,13 +30,10 @@ from pyspark.sql import functions as F
 
 from lorecast.io import table
 
-#: Most passages that the model is fitted on, hashed features, rounds of EM, and the log odds from which a passage is a
-#: candidate (low: the exact check decides).
-TRUSTED, UNLABELLED, FEATURES, ROUNDS, CUT = 20_000, 60_000, 1 << 16, 6, -30.0
-#: Characters of a record that can be trusted as a whole.
-SHORT = 600
+#: Most records that the model is fitted on, hashed features, and rounds of EM.
+SAMPLE, FEATURES, ROUNDS = 12_000, 1 << 18, 2
 #: Counts that the common distribution of features stands for in either class.
-PRIOR = 500.0
+PRIOR = 10.0
 
 _NAME = r"[A-Za-z][A-Za-z _]{1,30}"
 #: Unfilled fields, by style. A field stands free: white space or punctuation around it, no path or assignment.
@@ -117,8 +117,25 @@ LABEL = re.compile(r"^\s*(?:\[(?:user|assistant|system|tool|human|bot)\]|(?:user
 TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|div|span|noscript|b|i|em|strong|br|hr|center|a|ul|li|script|pre|center)(?:\s[^>]*)?/?>", re.I)
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\s\d])|(?<=[。！？])")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[`\"“”„«»「」=(){}\[\]<>%$#@|:/]")
-VERDICT = "key string, kind string, passage string, score double"
+_TOKEN = re.compile(r"<\w+>|[^\W\d_]+|\d+|[^\w\s]")
+_QUOTES = re.compile("[`\"“„«「'‘]")
+_DIGIT = re.compile(r"\d")
+_CJK = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
+_ASCII = re.compile(r"[a-z]+|\d+|<(?:q|field)>|[^\w\s]", re.A)
+_KEY = re.compile(r"\"(\w+)\"(?=\s*:)")
+#: An unfilled field with the signs next to it.
+SNIPPET = re.compile(r"[^\s\w]?\s*<field>\s*[^\s\w]?")
+#: Parts of words without which the patterns below can only match at the start of a passage.
+FILLER_CUES = (
+    "here", "placeholder", "filler", "dummy", "sample", "example", "replace", "remove", "change", "ipsum", "texto", "texte", "text", "platzhalter", "mustertext", "hier ",
+    "ここ", "ダミー", "サンプル", "construction", "click to",
+)
+SCRIPT_CUES = ("script", "skript", "browser", "cookies", "human", "robot", "moment", "スクリプト", "ブラウザ", "有効", "オン")
+ERROR_CUES = (
+    "gateway", "unavailable", "certificate", "page", "origin", "maintenance", "the server", "the request", "leider", "seite", "dienst", "erreur", "introuvable", "avez pas",
+    "service", "error", "servidor", "servicio", "página", "ページ", "エラー", "アクセス", "メンテ", "サーバ",
+)
+VERDICT = "key string, passages int, passage string, score double"
 
 
 def passages(text: str) -> Iterator[tuple[str, bool]]:
@@ -141,21 +158,56 @@ def field(passage: str) -> bool:
     return bool(_MARKS.search(passage) and FIELD.search(passage))
 
 
-def features(passage: str) -> list[int]:
-    """Hashed words, pairs of words, single and paired characters without spaces between, and marks of fields."""
-    low = passage.lower()
-    words = []
-    for w in _TOKEN.findall(low):
-        if w[0].isdigit():
-            w = f"#{w[0]}xx" if len(w) == 3 and w[0] in "45" else "#"
-        elif not w.isascii() and len(w) > 6 and re.match(r"[\u3040-\u30ff\u4e00-\u9fff]", w):
-            words += [w[i : i + 2] for i in range(len(w) - 1)]
-            continue
-        words.append(w)
-    if field(passage):
-        words.append("<field>")
-    words += [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for w in words]
+def masked(passage: str) -> str:
+    """The passage in lower case, with marks in place of quotations and of unfilled fields."""
+    text = passage
+    if _QUOTES.search(text):
+        text = QUOTED.sub(" <q> ", _KEY.sub(r"\1", text) if '":' in text or '" :' in text else text)
+    if _MARKS.search(text):
+        text = FIELD.sub(" <field> ", text)
+    return text.lower()
+
+
+def code(passage: str) -> bool:
+    """Whether a passage is code or a line of a log."""
+    return CODE.match(passage) is not None or ("=" in passage or "(" in passage or "--" in passage) and CODE.search(passage) is not None
+
+
+def words_of(text: str) -> list[str]:
+    """Words and signs; numbers by kind, scripts without spaces by pairs of characters."""
+    plain = text.isascii()
+    words = (_ASCII if plain else _TOKEN).findall(text)
+    if _DIGIT.search(text):
+        words = [w if not w[0].isdigit() else f"#{w[0]}xx" if len(w) == 3 and w[0] in "45" else "#" for w in words]
+    if plain or not _CJK.search(text):
+        return words
+    out: list[str] = []
+    for w in words:
+        if _CJK.match(w):
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
+        else:
+            out.append(w)
+    return out
+
+
+def shapes(passage: str, fenced: bool = False) -> list[set[str]]:
+    """The features of a passage, and of each unfilled field in it."""
+    text, is_code = masked(passage), fenced or code(passage)
+    parts = [text, *SNIPPET.findall(text)] if "<field>" in text and not is_code else [text]
+    out = []
+    for part in parts:
+        words = words_of(part)
+        found = set(words)
+        found.update(map(" ".join, zip(["^", *words], [*words, "$"], strict=True)))
+        found.add(f"n{min(len(words), 40).bit_length()}")
+        if is_code:
+            found.add("<code>")
+        out.append(found)
+    return out
+
+
+def hashed(found: set[str]) -> list[int]:
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for f in found]
 
 
 def nonsense(passage: str) -> bool:
@@ -166,107 +218,132 @@ def nonsense(passage: str) -> bool:
     return sum(w in LATIN for w in words) >= max(3, 0.6 * len(words)) or sum(w in MASH for w in words) >= max(3, 0.7 * len(words))
 
 
-def exact(passage: str, fenced: bool = False) -> str | None:
-    """The kind of residue that a passage is, if it is and isn't quoted, code or about such things."""
+def seeds(passage: str, fenced: bool = False) -> str | None:
+    """The kind of residue that a passage is by the seeding patterns, if it is and isn't quoted, code or about such things."""
     if fenced:
         return None
     if REPLY.search(passage):
         return "error"
-    if CODE.search(passage):
+    if code(passage):
         return None
-    bare = QUOTED.sub(" ", passage)
-    if field(bare) and not (ABOUT.search(bare) and bare != passage):
+    bare = QUOTED.sub(" ", passage) if _QUOTES.search(passage) else passage
+    if field(bare) and not (bare != passage and ABOUT.search(bare)):
         return "field"
     if not re.search(r"\w", bare):
         return None
-    plain = html.unescape(bare)
+    plain = html.unescape(bare) if "&" in bare else bare
     if nonsense(plain) or ONLY.match(plain):
         return "filler"
-    if ABOUT.search(plain):
-        return None
-    if FILLER.search(plain):
-        return "filler"
-    if SCRIPT.search(plain):
-        return "script"
-    return "error" if ERROR.search(plain) else None
-
-
-def trusted(text: str) -> list[str]:
-    """The passages of a record that is an error reply, a notice or a placeholder as a whole; none for other records."""
-    found = [p for p, fenced in passages(text[: 2 * SHORT]) if not fenced]
-    return found if len(text) <= SHORT and 0 < len(found) <= 6 and 2 * sum(exact(p) is not None for p in found) >= len(found) and not any(ABOUT.search(p) for p in found) else []
-
-
-def fit(positive: list[list[int]], other: list[list[int]], rounds: int = ROUNDS) -> np.ndarray:
-    """Log odds of the features and, last, of the prior, by EM over the unlabelled passages."""
-    if not positive:
-        return np.zeros(FEATURES + 1)
-
-    def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromiter((f for r in rows for f in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-
-    (pf, _), (of, oi) = flat(positive), flat(other)
-    sure = np.bincount(pf, minlength=FEATURES).astype(float)
-    weight = np.full(len(other), 0.02)
-    odds = np.zeros(FEATURES + 1)
-    common = sure + np.bincount(of, minlength=FEATURES) + 0.1
-    common *= PRIOR / common.sum()  # a feature that neither class has says nothing
-    for _ in range(rounds):
-        soft = np.bincount(of, weights=weight[oi], minlength=FEATURES)
-        hard = np.bincount(of, weights=1 - weight[oi], minlength=FEATURES)
-        one, zero = sure + soft + common, hard + common
-        share = min(0.5, max(1e-3, weight.mean() if len(other) else 0.5))
-        odds = np.append(np.log(one / one.sum()) - np.log(zero / zero.sum()), np.log(share) - np.log1p(-share))
-        score = np.bincount(oi, weights=odds[of], minlength=len(other)) + odds[-1]
-        weight = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        weight *= min(1.0, len(positive) / max(weight.sum(), 1e-9))  # no more untrusted residue than trusted
+    low = plain.lower()
+
+    def shown(pattern: re.Pattern, cues: tuple[str, ...]) -> bool:
+        return pattern.match(plain) is not None or any(c in low for c in cues) and pattern.search(plain) is not None
+
+    kind = "filler" if shown(FILLER, FILLER_CUES) else "script" if shown(SCRIPT, SCRIPT_CUES) else "error" if shown(ERROR, ERROR_CUES) else None
+    return None if kind and ABOUT.search(plain) else kind
+
+
+def examples(text: str) -> Iterator[tuple[set[str], bool]]:
+    """The features of the passages of a record, each with whether it is trusted to be residue."""
+    found, sure = list(passages(text)), set()
+    for i, (p, fenced) in enumerate(found):
+        if seeds(p, fenced):
+            sure.add(i)
+        if 2 * (i + 1 - len(sure)) > len(found):  # no half any more
+            sure = set()
+            break
+    for i, (p, fenced) in enumerate(found):
+        for one in shapes(p, fenced):
+            yield one, i in sure
+
+
+def fit(rows: list[list[int]], sure: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
+    """Log odds of the features and, last, of residue as such, by EM over the passages that aren't sure."""
+    if not sure.any():
+        return np.append(np.zeros(FEATURES), -30.0)
+    feature, row = np.fromiter((f for r in rows for f in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    weight = sure.astype(float)
+    common = np.bincount(feature, minlength=FEATURES) + 0.1
+    common *= prior / common.sum()  # a feature that neither class has says nothing
+    for left in range(rounds, -1, -1):
+        one = np.bincount(feature, weights=weight[row], minlength=FEATURES) + common
+        zero = np.bincount(feature, weights=(1 - weight)[row], minlength=FEATURES) + common
+        n = weight.sum()
+        odds = np.append(np.log(one / (n + prior)) - np.log(zero / (len(rows) - n + prior)), np.log(n) - np.log(max(len(rows) - n, 1.0)))
+        if left:
+            score = np.bincount(row, weights=odds[feature], minlength=len(rows)) + odds[-1]
+            weight = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
     return odds
 
 
-def model(df: DataFrame, text: str) -> np.ndarray:
-    """The model of a corpus, fitted on bounded samples of its passages."""
+def model(df: DataFrame, text: str, sample: int = SAMPLE) -> np.ndarray:
+    """The model of a corpus, fitted on the passages of at most `sample` of its records, drawn by the hash of their text."""
     texts = df.select(df[text].alias("text")).where(F.length("text") > 0)
+    share = max(1, texts.count() // sample)
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).orderBy(F.xxhash64("text"), "text").limit(sample)
 
-    kinds = {True: trusted, False: lambda t: [p for p, _ in passages(t)]}
-
-    def sample(sure: bool):  # noqa: ANN202
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = {p[:2000] for t in batch["text"] for p in kinds[sure](t)}
-                rows = [(p, zlib.crc32(p.encode("utf-8", "surrogatepass"))) for p in found]
-                yield pd.DataFrame(rows, columns=["passage", "h"])
-
-        return run
-
-    def drawn(rows: DataFrame, sure: bool, most: int) -> set[str]:
-        found = rows.mapInPandas(sample(sure), "passage string, h long").distinct().orderBy("h", "passage").limit(most)
-        return {r.passage for r in found.select("passage").collect()}
-
-    some = max(1, texts.count() // (UNLABELLED // 3))
-    sure = drawn(texts.where(F.length("text") <= SHORT), True, TRUSTED)
-    rest = drawn(texts.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0), False, UNLABELLED) - sure
-    return fit([features(p) for p in sorted(sure)], [features(p) for p in sorted(rest)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(np.array(hashed(found), np.int32).tobytes(), sure) for t in batch["text"] for found, sure in examples(t)]
+            yield pd.DataFrame(rows, columns=["features", "sure"])
+
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    got = drawn.repartition(tasks, "text").mapInPandas(run, "features binary, sure boolean").toPandas()  # of at most `sample` records
+    return fit([np.frombuffer(x, np.int32).tolist() for x in got["features"]], got["sure"].to_numpy(bool))
+
+
+class Scorer:
+    """Scores passages with the log odds of a model; remembers the odds of features and the scores of passages."""
+
+    def __init__(self, odds: np.ndarray) -> None:
+        self.odds, self.known, self.seen = odds, {}, {}
+
+    def one(self, found: set[str]) -> float:
+        total, known = float(self.odds[-1]), self.known
+        for f in found:
+            x = known.get(f)
+            if x is None:
+                x = known[f] = float(self.odds[zlib.crc32(f.encode("utf-8", "surrogatepass")) & (FEATURES - 1)])
+            total += x
+        return total
+
+    def passage(self, passage: str, fenced: bool) -> float:
+        """The log odds that a passage, or an unfilled field in it, is residue."""
+        key = (passage, fenced)
+        score = self.seen.get(key)
+        if score is None:
+            if len(self.seen) > 1 << 17 or len(self.known) > 1 << 20:
+                self.seen, self.known = {}, {}
+            score = self.seen[key] = max(map(self.one, shapes(passage, fenced)))
+        return score
+
+    def record(self, text: str) -> tuple[int, str | None, float]:
+        """How many passages are residue, the surest, and the log odds that any is."""
+        clean, best, n = 0.0, (-1e9, None), 0
+        for p, fenced in passages(text):
+            score = self.passage(p, fenced)
+            if score > -30:
+                clean -= np.logaddexp(0.0, min(score, 30.0))  # log of the probability that none is
+                n += score > 0
+                best = max(best, (score, p))
+        some = -np.expm1(clean)
+        return n, best[1], float(np.log(some) - clean) if some > 0 else -1e9
 
 
 def find_residue(df: DataFrame, key: str, text: str, odds: np.ndarray | None = None) -> DataFrame:
-    """(key, kind, passage, score) of the rows of df that are or hold residue, with the first passage that shows it."""
+    """(key, passages, passage, score) of the rows of df that are or hold residue, with the passage that shows it best."""
     odds = model(df, text) if odds is None else odds
     sent = df.sparkSession.sparkContext.broadcast(odds)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = sent.value
+        scorer = Scorer(sent.value)
         for batch in batches:
-            rows, known = [], {}
+            rows = []
             for k, t in zip(batch["key"], batch["text"], strict=True):
-                for p, fenced in passages(t):
-                    score = known.get(p)
-                    if score is None:
-                        found = features(p)
-                        score = known[p] = float(weights[found].sum() + weights[-1]) if found else 0.0
-                    if score >= CUT and (kind := exact(p, fenced)):
-                        rows.append((k, kind, p, score))
-                        break
-            yield pd.DataFrame(rows, columns=["key", "kind", "passage", "score"])
+                n, passage, score = scorer.record(t)
+                if score >= 0:
+                    rows.append((k, n, passage, score))
+            yield pd.DataFrame(rows, columns=["key", "passages", "passage", "score"])
 
     rows = df.select(df[key].cast("string").alias("key"), df[text].alias("text")).where(F.length("text") > 0)
     return rows.mapInPandas(judge, VERDICT)

@@ -41,10 +41,32 @@ def test_neighbours_of_nothing(spark):
 
 def test_a_hot_group_of_copies(spark):
     rows = [(f"c{i:02}", [1.0, 2.0, 3.0, 4.0], "z") for i in range(40)] + [("far", [-1.0, 0.0, 0.0, 0.0], "z")]
-    got = neighbours.mutual(neighbours.most_similar(vectors(spark, rows), "id", "v", dim=4, limit=0.1)).collect()
+    found = neighbours.most_similar(vectors(spark, rows), "id", "v", dim=4, limit=0.1)
+    assert {(r.id_a, r["count"]) for r in found.groupBy("id_a").count().collect()} == {(f"c{i:02}", 5) for i in range(40)}  # every copy has its rows
+    got = neighbours.mutual(found).collect()
     assert {(r.id_a, r.id_b) for r in got} == {(f"c{i:02}", f"c{j:02}") for i in range(6) for j in range(i + 1, 6)}
 
 
+def test_cells_are_split_and_overlap(spark, monkeypatch):
+    """With small blocks of members and of queries the result stays that of brute force."""
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "ASKED", 24)
+    x = np.random.default_rng(5).normal(size=(400, 8)).astype(np.float32)
+    df = vectors(spark, [(f"v{i:03}", [float(a) for a in v], "z") for i, v in enumerate(x)])
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, 9)
+    got = {}
+    for r in neighbours.most_similar(df, "id", "v", dim=8, unit=False, probes=99).collect():
+        got.setdefault(r.id_a, set()).add(r.id_b)
+    hits = sum(f"v{j:03}" in got[f"v{i:03}"] for i in range(400) for j in np.argsort(d[i])[:5])
+    assert set(map(len, got.values())) == {5}
+    assert hits >= 0.9 * 2000
+    monkeypatch.setattr(neighbours, "REACH", 99.0)  # every cell is asked
+    got = {(r.id_a, r.id_b) for r in neighbours.most_similar(df, "id", "v", dim=8, unit=False, probes=99).collect()}
+    assert got == {(f"v{i:03}", f"v{j:03}") for i in range(400) for j in np.argsort(d[i])[:5]}
+
+
 # -- 2: personal information
 @pytest.mark.parametrize(
     ("text", "want"),
@@ -215,6 +237,10 @@ def test_encoding_matches_the_library_and_decodes(spark):
     want = sorted((lib.encode_ordinary(t or ""), t or "") for _, t, _ in rows)
     assert sorted((list(r.ids), r.back) for r in got) == want
     assert tokens.encode(df.limit(0), "id", "text", ranks).count() == 0
+    few = tokens.encode(df, "id", "text", ranks, frequent=2, long=6).collect()  # most words folded in place, and many of them as long ones
+    assert sorted((r.key or -1, r.ids) for r in few) == sorted((r.key or -1, r.ids) for r in got)
+    word = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 200_000)))
+    assert tokens.merge_long(word.encode(), ranks) == lib.encode_ordinary(word)
 
 
 # -- 7: packing
@@ -255,19 +281,32 @@ def test_packs_hold_all_items_within_capacity(spark):
         ("cp ${SRC_DIR}/snap $HOME/kb", None), ("   ", None),
     ],
 )
-def test_exact_check(text, kind):
-    found = [k for p, fenced in residue.passages(text) if (k := residue.exact(p, fenced))]
+def test_seeding_patterns(text, kind):
+    found = [k for p, fenced in residue.passages(text) if (k := residue.seeds(p, fenced))]
     assert (found[0] if found else None) == kind
 
 
 def test_residue_over_rows(spark):
     good = [(i, f"Session {i}: the index was rebuilt and the recall rose to {i} percent. Nobody objected.", "k") for i in range(60)]
-    bad = [(100 + i, t, "k") for i, t in enumerate(["404 Not Found", "502 Bad Gateway", "Please enable JavaScript to view this page.", "Hello {{ name }}, your import is complete.", "Your text goes here."] * 2)]
-    edge = [(200, None, "k"), (201, "", "k"), (202, " \n", "k"), (None, "404 Not Found", "k"), (203, "fine. " * 20000, "k")]
+    bad = [(100 + i, t, "k") for i, t in enumerate(["404 Not Found", "502 Bad Gateway", "Please enable JavaScript to view this page.", "Owner: {{ name }}", "Your text goes here."] * 4)]
+    edge = [(200, None, "k"), (201, "", "k"), (202, " \n", "k"), (None, "404 Not Found", "k"), (203, "fine. " * 20000, "k"), (204, "The index was rebuilt. " * 40 + "\nOwner: {{ date }}\n" + "Nobody objected. " * 9, "k")]
     df = spark.createDataFrame(good + bad + edge, "doc_id long, text string, kind string")
     got = residue.find_residue(df, "doc_id", "text").collect()
-    assert {r.key for r in got} == {str(100 + i) for i in range(10)} | {None}
+    assert {r.key for r in got} == {str(100 + i) for i in range(20)} | {None, "204"}
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
+    assert residue.find_residue(df.where("doc_id < 60"), "doc_id", "text").count() == 0  # nothing to learn from
+
+
+def test_the_model_decides_and_not_the_patterns():
+    """A form that no pattern knows is told by its words; quoted residue stays clean."""
+    new = "502 Gateway Not Found"
+    assert residue.seeds(new) is None
+    pages = ["404 Not Found", "502 Bad Gateway", "503 Service Unavailable", "404 Page Not Found"]
+    texts = pages * 20 + [f"The index of {i} was rebuilt in the night and nobody objected to it." for i in range(300)]
+    rows = [e for t in texts for e in residue.examples(t)]
+    scorer = residue.Scorer(residue.fit([residue.hashed(f) for f, _ in rows], np.array([s for _, s in rows])))
+    assert scorer.passage(new, False) > 0
+    assert scorer.passage('The index of 7 was rebuilt after "404 Not Found" and nobody objected to it.', False) < 0
 
 
 def test_every_found_query_runs_on_empty_tables(spark, tmp_path):

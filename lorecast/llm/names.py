@@ -14,6 +14,9 @@ are joined within an edit radius by metric-space partitioning:
 Cells hold few distinct strings since pivots are close to their cores; repeated names are one string. What grows is the
 comparison of cores with pivots (a vectorised bag distance, and the metric for what it leaves): cores times pivots.
 
+Nicknames come from a list, which is a parameter, and from the data: an unknown given name that stands mostly beside one
+known given name of the same family name is learned as its nickname. Notes in brackets are no part of a name.
+
 Near cores form families; within one, second parts decide which forms are the same. An initial, an abbreviation that
 fits several words or a missing second part is linked only where one class of the family fits it.
 
@@ -40,6 +43,10 @@ from lorecast.plans.components import connected_components
 from lorecast.plans.materialize import cut
 
 RADIUS = 2
+#: Letters below which one edit may make another name: cores that short need equal second parts to be linked by it.
+SHORTEST = 5
+#: Families in which an unknown given name must stand for a known one, and the share of its families, to be learned.
+SEEN, MOSTLY = 3, 0.5
 #: Most pivots of a round; they are the only thing sent to all tasks.
 PIVOTS = 16384
 KINDS = {
@@ -49,14 +56,14 @@ KINDS = {
 TITLES = frozenset("mr mrs ms miss dr prof professor sir madam herr frau mme mlle sr sra jr phd md dipl ing hon rev".split())
 #: Nicknames by given name.
 NICKNAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex alec sandy xander", "amelia": "millie amy mel", "anthony": "tony ant", "barbara": "barb babs barbie",
+    "abigail": "abby abbie gail", "alexander": "alex alec sandy xander sasha", "amelia": "millie amy mel", "anthony": "tony ant", "barbara": "barb babs barbie",
     "benjamin": "ben benny benji", "caroline": "carrie caro lina", "catherine": "cathy kate cat katie", "charles": "charlie chuck chas", "christopher": "chris kit topher",
-    "daniel": "dan danny", "deborah": "deb debbie debby", "dorothy": "dot dottie dolly", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora ella",
+    "daniel": "dan danny", "deborah": "deb debbie debby", "dmitri": "dima mitya", "dorothy": "dot dottie dolly", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora ella",
     "elizabeth": "liz beth betty lizzie eliza betsy", "francis": "frank fran frankie", "frederick": "fred freddie freddy", "gabriela": "gaby gabi gabby",
     "geoffrey": "geoff jeff", "gustavo": "gus", "harriet": "hattie harry", "henrik": "hen rik", "ibrahim": "ibi ibra", "isabella": "bella izzy isa", "jacqueline": "jackie jacqui",
     "jennifer": "jen jenny jenn", "joaquin": "quino", "jonathan": "jon jonny johnny", "katarzyna": "kasia", "kenneth": "ken kenny", "lawrence": "larry laurie",
-    "leonard": "leo len lenny", "magdalena": "magda lena", "margaret": "maggie meg peggy marge greta", "matthew": "matt matty", "michael": "mike mick mikey",
-    "nicholas": "nick nicky", "patricia": "pat patty tricia trish", "rebecca": "becky becca", "richard": "rick dick rich richie", "robert": "rob bob bobby robbie bert",
+    "leonard": "leo len lenny", "magdalena": "magda lena", "margaret": "maggie meg peg peggy marge greta", "matthew": "matt matty", "michael": "mike mick mikey",
+    "nicholas": "nick nicky", "olufemi": "femi", "patricia": "pat patty tricia trish", "rebecca": "becky becca", "richard": "rick dick rich richie", "robert": "rob bob bobby robbie bert",
     "samantha": "sam sammy", "stephen": "steve stevie steph", "tamara": "tammy", "theodore": "theo teddy", "thomas": "tom tommy", "ursula": "uschi",
     "victoria": "vicky tori vic", "wilhelmina": "mina willa minnie", "william": "bill will billy liam willy", "joseph": "joe joey", "james": "jim jimmy jamie",
     "john": "jack johnny", "david": "dave davey", "andrew": "andy drew", "susan": "sue susie", "peter": "pete", "gregory": "greg", "timothy": "tim", "ronald": "ron",
@@ -78,11 +85,12 @@ SHORT = {
     "logistic": "logistics", "inst": "institute", "instr": "instruments",
 }
 _MAIN, _TAIL = (part.split() for part in BUSINESS.split(":"))
+_EXACT = frozenset((*_MAIN, *_TAIL))
 
 
 def radius(length: int | np.ndarray) -> int | np.ndarray:
-    """The edits that two spellings of a core may differ by: none under 5 letters, one under 8."""
-    return np.where(np.asarray(length) < 5, 0, np.where(np.asarray(length) < 8, 1, RADIUS))
+    """The edits that two spellings of a core may differ by: one under 8 letters (under SHORTEST, with equal second parts)."""
+    return np.where(np.asarray(length) < 8, 1, RADIUS)
 
 
 def distance(a: str, b: str, most: int = 99) -> int:
@@ -143,8 +151,13 @@ def adjacent_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarr
     return out
 
 
+_NOTE = re.compile(r"\s*(?:\([^()]*\)|\[[^\[\]]*\])")
+
+
 def plain(name: str) -> str:
-    """Lower case, without accents and ligatures, letters and digits only, dots of initials and legal forms closed."""
+    """Lower case, without notes in brackets, accents and ligatures, letters and digits only, dots of initials and legal forms closed."""
+    bare = _NOTE.sub(" ", name)
+    name = bare if re.search(r"\w", bare) else name
     text = unicodedata.normalize("NFKD", name.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("đ", "d"))
     text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
     text = re.sub(r"\b(\w)\.(?=\w\.)", r"\1", text)
@@ -164,8 +177,10 @@ def _near(word: str, words: dict[str, str] | list[str]) -> str | None:
     """The only or nearest of the words within the edits allowed for its length; the first letters settle ties."""
     most, own = 0 if len(word) < 4 else 1 if len(word) < 6 else 2, _mask(word)
     close = (w for w in words if abs(len(w) - len(word)) <= most and len(w) >= 4 and (own & ~_known_mask(w)).bit_count() <= most)
-    best = min(((distance(word, w, most), w[:1] != word[:1], w) for w in close), default=(99, True, ""))
-    return best[2] if best[0] <= most else None
+    found = sorted((d, w[:1] != word[:1], w) for w in close if (d := distance(word, w, most)) <= most)
+    if len(found) > 1 and found[0][:2] == found[1][:2] and isinstance(words, dict) and words[found[0][2]] != words[found[1][2]]:
+        return word  # as near to two: what stands beside it in its family decides
+    return found[0][2] if found else None
 
 
 class Parser:
@@ -178,9 +193,9 @@ class Parser:
     def given_name(self, word: str) -> str | None:
         if word not in self.given:
             found = _KNOWN.get(word)
-            if found is None and len(word) < 13:
+            if found is None:
                 near = _near(word, _KNOWN)
-                found = _KNOWN[near] if near else None
+                found = _KNOWN.get(near, near) if near else None
             self.given[word] = found
         return self.given[word]
 
@@ -193,9 +208,9 @@ class Parser:
                 found = ("",)
             elif full in _MAIN:
                 found = (full,)
-            elif len(word) >= 3:
+            elif len(word) >= 3 or len(word) == 2 and sum(w.startswith(word) for w in _MAIN) == 1:
                 found = tuple(w for w in _MAIN if w.startswith(word)) or (("",) if any(w.startswith(word) for w in _TAIL) else None)
-                if found is None and len(word) >= 5:
+                if found is None and len(word) >= 4:
                     near = _near(word, [*_MAIN, *_TAIL])
                     found = ((near,) if near in _MAIN else ("",)) if near else None
             self.business[word] = found
@@ -216,7 +231,7 @@ class Parser:
         at = known[0] if known else None
         if at is None and len(words) > 1 and not letters:
             shortest = len(words) - 1 if comma else 0
-            if all(len(w) >= 4 for w in words):
+            if all(len(w) >= 3 for w in words):
                 at = shortest
         core = "".join(w for i, w in enumerate(words) if i != at)
         if at is None:
@@ -229,7 +244,7 @@ class Parser:
         main: tuple[str, ...] = ()
         rest = []
         for w in words:
-            found = self.business_word(w)
+            found = self.business_word(w) if rest or len(w) != 4 or SHORT.get(w, w) in _EXACT else None  # the coined part comes first mostly
             if found is None:
                 rest.append(w)
             elif found != ("",) and not main:
@@ -363,14 +378,32 @@ def radius_join(cores: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def learned(forms: DataFrame) -> DataFrame:
+    """(second, full): unknown given names that mostly stand beside one known given name of the same family name.
+
+    A nickname that no list has shows in the data: of the families it stands in, at least SEEN and the share MOSTLY have
+    the same other given name. Families with many given names say little and are counted like the others.
+    """
+    people = forms.where("kind = 'person' and second not like '%*'").select("core", "second").distinct()
+    known = F.col("second").isin(sorted(set(_KNOWN.values())))
+    new, full = people.where(~known), people.where(known).select("core", F.col("second").alias("full"))
+    both = new.join(full, "core").groupBy("second", "full").agg(F.count("*").alias("n"))
+    seen = new.join(full.select("core").distinct(), "core", "left_semi").groupBy("second").agg(F.count("*").alias("of"))
+    best = both.join(seen, "second").where((F.col("n") >= SEEN) & (F.col("n") >= MOSTLY * F.col("of")))
+    return best.groupBy("second").agg(F.min_by("full", F.struct(-F.col("n"), F.col("full"))).alias("full"))
+
+
 def _fits(kind: str, a: str, b: str) -> bool:
-    """Whether two full second parts mean the same."""
+    """Whether two full second parts mean the same: within edits, or one of them the start or end of the other."""
     if a == b:
         return True
     if kind == "organisation":
         return False
     if a in _KNOWN and b in _KNOWN:
         return False
+    short, long = sorted((a, b), key=len)
+    if len(short) >= 3 and (long.startswith(short) or long.endswith(short)):
+        return True
     return distance(a, b, 2) <= (1 if min(len(a), len(b)) < 6 else 2)
 
 
@@ -412,6 +445,9 @@ def classes(forms: DataFrame, near: DataFrame) -> DataFrame:
                 memo[x, y] = distance(x, y, most) if distance(x, y, most) <= most else 99
             return memo[x, y]
 
+        def sure(x: str, y: str) -> int:
+            return 2 if min(len(x), len(y)) >= SHORTEST else 1
+
         full = [i for i, s in enumerate(second) if not s.endswith("*")]
         partial = [i for i, s in enumerate(second) if s.endswith("*")]
         names = sorted({second[i] for i in full})
@@ -422,17 +458,17 @@ def classes(forms: DataFrame, near: DataFrame) -> DataFrame:
         for i in full:
             for t in same[second[i]]:
                 for j in by_name[t]:
-                    if j > i and (d := apart(core[i], core[j])) <= 2 and (d < 2 or second[i] == second[j]):
+                    if j > i and (d := apart(core[i], core[j])) <= 2 and (d < sure(core[i], core[j]) or second[i] == second[j]):
                         up[max(top(i), top(j))] = min(top(i), top(j))
         for i in partial:
-            fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) <= 1}
+            fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) < sure(core[i], core[j])}
             if not fitting:
-                fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) <= 2}
+                fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) <= sure(core[i], core[j])}
             if len(fitting) == 1:
                 up[i] = next(iter(fitting))
             elif not fitting:
                 for j in partial:
-                    if j < i and second[j] == second[i] and apart(core[i], core[j]) <= 1:
+                    if j < i and second[j] == second[i] and apart(core[i], core[j]) < sure(core[i], core[j]):
                         up[i] = top(j)
                         break
             elif second[i] != "*":  # several fit: only equal spellings are the same
@@ -447,6 +483,7 @@ def classes(forms: DataFrame, near: DataFrame) -> DataFrame:
 def entity_classes(entities: DataFrame) -> DataFrame:
     """(id, class) of every person and organisation with a usable name."""
     forms = cut(parse(entities, "entity_id", "entity_type", "canonical_name"))
+    forms = forms.join(learned(forms), "second", "left").select("id", "kind", "core", F.when(F.col("kind") == "person", F.coalesce("full", "second")).otherwise(F.col("second")).alias("second"))
     linked = classes(forms, radius_join(forms))
     return forms.join(linked, ["kind", "core", "second"]).select("id", "class")
 

@@ -102,7 +102,10 @@ def test_redaction_keeps_rows_and_the_rest(spark):
 def test_validators():
     assert personal.luhn("4539578763621486")
     assert not personal.luhn("4539578763621487")
-    assert personal.mod97("GB82WEST12345698765432")
+    assert personal.mod97("255081416802538") and not personal.mod97("255081416802539")
+    assert personal.mod97("85073003328") and not personal.mod97("85073003329")
+    assert [x[2] for x in personal.find_items("12345678Z")] == ["idno"]  # the check letter confirms it without any word beside it
+    assert personal.find_items("12345678A") == []
 
 
 # -- 3: splitting

@@ -86,7 +86,7 @@ def feedback(user: Column, retrieved: Column, cited: Column) -> Column:
     has = lambda phrases: F.coalesce(F.array_max(F.array(*[low.contains(p) for p in phrases])), F.lit(False))
     share = F.try_divide(F.size(F.array_intersect(retrieved, cited)), F.size(retrieved))
     pair = lambda name, c: F.struct(F.lit(name).alias("outcome"), F.lit(c).alias("confidence"))
-    return F.when(has(NEGATIVE), pair("corrected", 0.85)).when(has(POSITIVE), pair("confirmed", 0.75)).when(share > 0.5, pair("used", 0.7)).when(F.length(F.trim(low)) > 0, pair("continued", 0.5)).otherwise(pair("ambiguous", 0.3))
+    return F.when(has(NEGATIVE), pair("corrected", 0.85)).when(has(POSITIVE), pair("confirmed", 0.75)).when(share > 0.5, pair("used", 0.7)).when(share > 0, pair("continued", 0.5)).otherwise(pair("ambiguous", 0.3))
 
 
 def supports(claim: Column, text: Column, least: float = 0.7) -> Column:

@@ -28,6 +28,28 @@ RELATION_PRIORS = {
     "ABOUT": 0.65, "RELATED_TO": 0.35, "ALIAS_OF": 0.60, "PRECEDES": 0.55, "FOLLOWS": 0.55, "CAUSED_BY": 0.65, "LOCATED_IN": 0.50, "AUTHORED_BY": 0.55, "USES": 0.60,
     "DEFINED_BY": 0.70, "ELABORATES": 0.65, "SUPERSEDED_BY": 0.75, "PREFERENCE_OF": 0.70, "CORRECTION_OF": 0.80,
 }
+# Categories of edge types.
+EDGE_CATEGORIES = {
+    "operational": ["uses", "depends_on", "calls", "invokes", "connects_to", "reads_from", "writes_to"],
+    "temporal": ["precedes", "follows", "concurrent_with", "triggers", "caused_by", "enables"],
+    "ownership": ["owns", "manages", "administers", "created_by", "maintained_by"],
+    "similarity": ["similar_to", "related_to", "alternative_to", "equivalent_to", "replaces"],
+}
+# How well kinds of items fit the modes of a question.
+TYPE_FIT = {
+    "fact_lookup": {"memory": 1.0, "claim": 0.9, "entity": 0.8, "segment": 0.5, "summary": 0.6}, "synthesis": {"summary": 1.0, "segment": 0.7, "claim": 0.6, "entity": 0.5, "memory": 0.5},
+    "timeline": {"event": 1.0, "segment": 0.7, "claim": 0.6, "memory": 0.5}, "procedure": {"procedure": 1.0, "segment": 0.6, "summary": 0.5},
+    "verification": {"claim": 1.0, "memory": 0.8, "segment": 0.6}, "assistant_memory": {"memory": 1.0, "claim": 0.5, "segment": 0.4},
+    "report": {"summary": 1.0, "segment": 0.8, "claim": 0.7, "entity": 0.7},
+}
+# Texts that say nothing.
+NOISE = ["ok", "okay", "done", "failed", "success", "error", "yes", "no", "true", "false", "null", "none"]
+# Words of types that raise an item's score in a state of a session.
+STATE_WORDS = {
+    "debugging": {"error": 0.3, "log": 0.2, "config": 0.1, "diagnostic": 0.3}, "planning": {"architecture": 0.2, "design": 0.2, "how_to": 0.2, "procedure": 0.1},
+    "recalling": {"conversation": 0.3, "decision": 0.2, "context": 0.2}, "exploring": {"documentation": 0.3, "explanation": 0.2, "overview": 0.2},
+    "executing": {"procedure": 0.3, "command": 0.2, "config": 0.2}, "confirming": {"verification": 0.3, "test": 0.2, "result": 0.2},
+}
 CREDENTIALS = "password|passwd|api key|api_key|apikey|secret|credential|private key|access token|bearer"
 
 
@@ -55,6 +77,14 @@ def lookup(key: Column, values: dict[str, float], default: float) -> Column:
     return out.otherwise(_n(default))
 
 
+def lookup_text(key: Column, values: dict[str, str]) -> Column:
+    """The value of a key, null for others."""
+    out = F
+    for k, v in values.items():
+        out = out.when(key == k, v)
+    return out.otherwise(F.lit(None).cast("string"))
+
+
 def event_signal(event_type: Column) -> Column:
     return lookup(event_type, {e: OUTCOMES[o] for e, o in EVENTS.items()}, 0.0)
 
@@ -95,7 +125,7 @@ def legacy_promotion(parts: list[Column]) -> Column:
 
 
 def legacy_tier(score: Column) -> Column:
-    return F.when(score >= 0.85, "pinned").when(score >= 0.70, "manifold").when(score >= 0.45, "provisional").otherwise("raw")
+    return F.when(score >= 0.85, "manifold").when(score >= 0.70, "promoted").when(score >= 0.45, "provisional").otherwise("raw")
 
 
 def promotion_importance(retrievals: Column, citations: Column, days: Column, authority: Column) -> Column:
@@ -114,9 +144,81 @@ def source_diversity(distinct: Column, total: Column) -> Column:
     return F.when(distinct <= 1, 0.5).otherwise(F.least(_n(1), F.coalesce(F.try_divide(F.log1p(distinct), F.log1p(F.least(F.lit(10), total))), _n(0))))
 
 
-def metric_promotion(citations: Column, retrievals: Column, contradictions: Column, days: Column) -> Column:
-    """Promotion from counters: citations over 10, retrievals over 50, contradictions, age over a year."""
-    return unit(0.35 * F.least(_n(1), citations / 10) + 0.25 * F.least(_n(1), retrievals / 50) + 0.2 * F.greatest(_n(0), 1 - 0.2 * contradictions) + 0.2 * F.greatest(_n(0), 1 - days / 365))
+def metric_promotion(citations: Column, retrievals: Column, contradictions: Column, days: Column, confirmations: Column) -> Column:
+    """The seven factors of promotion from counters: citations over 10, retrievals over 50, contradictions, age over a year, confirmations over 5; diversity and centrality unknown."""
+    part = lambda n, most: F.least(_n(1), n / most)
+    return promotion(part(citations, 10), part(retrievals, 50), _n(0.5), F.greatest(_n(0), 1 - 0.2 * contradictions), F.greatest(_n(0), 1 - days / 365), _n(0.5), part(confirmations, 5))
+
+
+def novelty(days: Column, growth: Column, emerging: Column) -> Column:
+    """Half of what is left of 60 days (0.2 at least), a tenth of the growth of mentions (0.3 at most), and 0.2 if emerging."""
+    return unit(0.5 * F.greatest(_n(0.2), 1 - days / 60) + F.when(growth > 0, F.least(_n(0.3), growth / 10)).otherwise(_n(0)) + F.when(emerging, 0.2).otherwise(0.0))
+
+
+def confidence(extracted: Column, corroborations: Column, contradicted: Column) -> Column:
+    """The confidence of the extraction, up to 0.2 more for corroboration, 0.3 less if contradicted."""
+    return unit(unit(extracted) + F.least(_n(0.2), F.log1p(corroborations) / 9) - F.when(contradicted, 0.3).otherwise(0.0))
+
+
+def user_relevance(retrievals: Column, citations: Column, feedback: Column) -> Column:
+    """Use by a user, blended in halves with feedback in [-1, 1] where there is any."""
+    use = F.least(_n(1), (F.log1p(retrievals) + F.log1p(citations)) / 6)
+    return unit(F.when(feedback != 0, 0.5 * use + 0.5 * (feedback + 1) / 2).otherwise(use))
+
+
+def spaces_of(status: Column, kind: Column) -> Column:
+    """The spaces that an object is embedded in: none if raw, the topic, and from promoted on the one of its type."""
+    own = lookup_text(kind, {"claim": "claim", "procedure": "procedure", "entity": "relation"})
+    topic, none = F.array(F.lit("topic")), F.array().cast("array<string>")
+    return F.when(status == "raw", none).when(status.isin("promoted", "manifold") & own.isNotNull(), F.concat(topic, F.array(own))).otherwise(topic)
+
+
+def edge_category(edge_type: Column) -> Column:
+    """The category of an edge type, whatever its case, hyphens and spaces; other if none."""
+    plain = F.translate(F.lower(edge_type), "- ", "__")
+    out = F
+    for category, types in EDGE_CATEGORIES.items():
+        out = out.when(plain.isin(types), category)
+    return out.otherwise("other")
+
+
+def type_fit(mode: Column, kind: Column) -> Column:
+    """How well a kind of item fits the mode of a question; one half where nothing is said."""
+    out = F
+    for m, fits in TYPE_FIT.items():
+        out = out.when(mode == m, lookup(kind, fits, 0.5))
+    return out.otherwise(_n(0.5))
+
+
+def noise_penalty(text: Column, kind: Column) -> Column:
+    """For short texts, records of tools, and words that say nothing; 1 at most."""
+    n = F.length(text)
+    short = F.when(n < 20, 0.5).when(n < 50, 0.2).otherwise(0.0)
+    return F.least(_n(1), short + F.when(kind.isin("tool_call", "tool_result"), 0.3).otherwise(0.0) + F.when(F.lower(F.trim(text)).isin(NOISE), 0.4).otherwise(0.0))
+
+
+def compared(overlap: Column, new_top: Column, old_top: Column) -> Column:
+    """The outcome of a comparison of two result lists by their overlap and top scores."""
+    better = F.when(new_top > old_top * 1.1, "new_better").when(old_top > new_top * 1.1, "old_better").otherwise("divergent")
+    return F.when(overlap >= 0.9, "match").when(overlap >= 0.5, "partial_match").when(overlap < 0.2, better).otherwise("divergent")
+
+
+def winner(old_n: Column, new_n: Column, shared: Column, correlation: Column, old_ms: Column, new_ms: Column) -> Column:
+    """Which of two result lists wins: the one that has any, a tie at high overlap and rank correlation, else the faster at some overlap."""
+    overlap = F.try_divide(shared, F.least(old_n, new_n))
+    return (
+        F.when((old_n == 0) & (new_n == 0), "tie").when(old_n == 0, "new").when(new_n == 0, "old").when((overlap > 0.8) & (correlation > 0.8), "tie")
+        .when((new_ms < old_ms * 0.7) & (overlap > 0.5), "new").when((old_ms < new_ms * 0.7) & (overlap > 0.5), "old").otherwise("unknown")
+    )
+
+
+def injection_score(state: Column, score: Column, segment_type: Column, source_type: Column) -> Column:
+    """The score of an item for a state of a session: 0.5 if unknown, more for each word of the state in its types; 1 at most."""
+    out = F
+    for name, words in STATE_WORDS.items():
+        has = lambda w: F.lower(segment_type).contains(w) | F.lower(source_type).contains(w)
+        out = out.when(state == name, sum((F.when(F.coalesce(has(w), F.lit(False)), x).otherwise(0.0) for w, x in words.items()), _n(0)))
+    return F.least(_n(1), F.coalesce(score, _n(0.5)) + out.otherwise(_n(0)))
 
 
 def relation_score(structure: Column, shared: Column, path: Column) -> Column:
@@ -159,9 +261,10 @@ def bandit_adjustment(positive: Column, negative: Column) -> Column:
     return F.greatest(_n(-0.3), F.least(_n(0.3), (positive * 1.0 + negative * 1.5) / 2.5 * 0.1))
 
 
-def entity_importance(mentions: Column, sources: Column, retrievals: Column) -> Column:
-    part = lambda c, top: F.least(_n(1), F.log1p(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))) / math.log1p(top))
-    return 0.4 * part(mentions, 100) + 0.3 * part(sources, 50) + 0.3 * part(retrievals, 100)
+def entity_importance(mentions: Column, sources: Column, retrievals: Column, centrality: Column) -> Column:
+    """Logarithms of counters (1 at least) over fixed bases, and centrality; 1 at most."""
+    part = lambda c, base: F.log(F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))) / math.log(base)
+    return F.least(_n(1), 0.3 * part(mentions, 100) + 0.3 * part(sources, 50) + 0.2 * part(retrievals, 100) + 0.2 * F.coalesce(centrality, _n(0)))
 
 
 def trust(verified: Column, disputed: Column, n: Column) -> Column:
@@ -186,5 +289,5 @@ def segment_importance(kind: Column, text: Column, boost: Column | float = 0.0)
 def adaptive_threshold(threshold: Column, accepted: Column, shown: Column, target: float = 0.7) -> Column:
     """Moved by 0.05 where acceptance leaves the target by more than 0.1, from five shown, within 0.3 and 0.95."""
     rate = F.try_divide(accepted, shown)
-    moved = F.when(shown < 5, threshold).when(rate < target - 0.1, threshold + 0.05).when(rate > target + 0.1, threshold - 0.05).otherwise(threshold)
+    moved = F.when(shown < 5, threshold).when(rate < round(target - 0.1, 9), threshold + 0.05).when(rate > round(target + 0.1, 9), threshold - 0.05).otherwise(threshold)
     return F.greatest(_n(0.3), F.least(_n(0.95), moved))

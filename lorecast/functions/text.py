@@ -76,14 +76,20 @@ def best_state(text: Column) -> Column:
     return F.when((whole == 0) | (top / F.greatest(whole, F.lit(1e-9)) < 0.5), "idle").otherwise(name)
 
 
-VAGUE = ["some", "many", "several", "various", "often", "sometimes", "usually", "might", "maybe", "probably", "generally"]
+# Vague words, each of which lowers specificity, and the patterns that raise it.
+VAGUE = ["some", "many", "few", "often", "usually", "sometimes", "maybe", "perhaps", "might", "could", "probably"]
+SPECIFIC = [
+    (r"[0-9]+", 0.15), (r"(?s)(^|^.|[^.] |[^ ])[A-Z][a-z]+", 0.10), (r"[a-z]+_[a-z]+|[a-z]+\.[a-z]+", 0.10),
+    (r"(?i)[0-9]{1,2}[:/][0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}|January|February|March|April|May|June|July|August|September|October|November|December", 0.15),
+    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|:[0-9]+|/[A-Za-z0-9_]+/", 0.10),
+]
 
 
 def specificity(text: Column) -> Column:
-    """0.3, more for numbers, names, identifiers, units and addresses, less for vague words; within 0 and 1."""
+    """0.3, more for numbers, names (not at the start of a sentence), identifiers, dates and addresses, less for each vague word; within 0 and 1."""
     has = lambda p, w: F.when(text.rlike(p), w).otherwise(0.0)
-    gained = has(r"\d+", 0.15) + has(r"[A-Z][a-z]+", 0.15) + has(r"[a-z]+_[a-z]+|[a-z]+\.[a-z]+", 0.15) + has(r"(?i)\b\d+ ?(ms|seconds?|minutes?|gb|mb|kb|percent)\b|%", 0.1) + has(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|:\d+|/\w+/", 0.1)
-    vague = sum((has(rf"(?i)\b{w}\b", 0.05) for w in VAGUE), F.lit(0.0))
+    gained = sum((has(p, w) for p, w in SPECIFIC), F.lit(0.0))
+    vague = sum((has(rf"(?i)(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])", 0.05) for w in VAGUE), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.3 + gained - vague))
 
 

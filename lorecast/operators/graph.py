@@ -101,6 +101,12 @@ def multiset_jaccard(counts: DataFrame, node: str, key: str, n: str, pairs: Data
     return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(1.0)).alias("similarity"))
 
 
+def fingerprint_similarity(out: DataFrame, into: DataFrame, types: DataFrame, node: str, key: str, n: str, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity): 0.3 of the multiset Jaccard of outgoing edge types, 0.3 of incoming ones, and 0.4 of the types of neighbours."""
+    parts = [multiset_jaccard(c, node, key, n, pairs).withColumn("similarity", w * F.col("similarity")) for c, w in ((out, 0.3), (into, 0.3), (types, 0.4))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("a", "b").agg(F.sum("similarity").alias("similarity"))
+
+
 def most_similar(counts: DataFrame, nodes: DataFrame, node: str, key: str, n: str, least: float = 0.3, most: int = 20, block: int = 2048) -> DataFrame:
     """(a, b, similarity): of each of the nodes the `most` others with the highest multiset Jaccard of at least `least`, ties by b.
 

@@ -93,7 +93,7 @@ def connected_entities(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (neighbours2, explore4, shortest_path, fingerprint, fp_similarity, causal_chain, provenance_chain, beam_paths, components, page_rank, connected_entities)}
 
 _S = "e0 AS (SELECT 'p' || l_partkey src, 's' || l_suppkey dst, sum(l_quantity) / 500 weight FROM lineitem GROUP BY 1, 2)"
-_R = f"{_S}, e AS (SELECT * FROM e0 WHERE weight > 0.15), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_R = f"{_S}, e AS (SELECT * FROM e0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def _bfs(start: str, depth: int) -> str:
@@ -108,8 +108,9 @@ ORACLE = {
         t AS (SELECT src node, count(*) c FROM (SELECT * FROM f EXCEPT SELECT * FROM u) GROUP BY 1)
         SELECT n.node, (SELECT count(*) FROM e WHERE dst = n.node) in_degree, (SELECT count(*) FROM e WHERE src = n.node) out_degree, coalesce(t.c, 0) two_hop, (SELECT count(DISTINCT kind) FROM u JOIN k ON u.dst = k.node WHERE u.src = n.node)::INT n_kinds
         FROM n LEFT JOIN t USING (node)""",
-    "fp_similarity": """WITH c AS (SELECT l_suppkey s, p_brand k, count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 20 GROUP BY 1, 2), p AS (SELECT a.s_suppkey a, b.s_suppkey b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE b.s_suppkey <= 20)
-        SELECT a, b, round(coalesce(sum(least(x, y)) / sum(greatest(x, y)), 1.0), 6) similarity FROM (SELECT a, b, k, coalesce(max(x), 0) x, coalesce(max(y), 0) y FROM (SELECT a, b, k, n x, NULL y FROM p JOIN c ON s = a UNION ALL SELECT a, b, k, NULL, n FROM p JOIN c ON s = b) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "fp_similarity": """WITH c AS (SELECT l_suppkey s, p_brand k, count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), t AS (SELECT s_suppkey s, coalesce(sum(n), 0) t FROM supplier LEFT JOIN c ON s = s_suppkey GROUP BY 1),
+        m AS (SELECT x.s a, y.s b, sum(least(x.n, y.n)) m FROM c x JOIN c y USING (k) GROUP BY 1, 2), f AS (SELECT x.s a, y.s b, CASE WHEN x.t + y.t = 0 THEN 1.0 ELSE coalesce(m, 0) / (x.t + y.t - coalesce(m, 0)) END v FROM t x JOIN t y ON x.s <> y.s LEFT JOIN m ON a = x.s AND b = y.s)
+        SELECT a, b, round(v, 6) similarity FROM f WHERE v >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY v DESC, b) <= 20""",
     "causal_chain": f"""WITH {_S}, b AS (SELECT src, dst, round(weight, 6) w FROM e0 UNION ALL SELECT dst, src, round(weight, 6) FROM e0), t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 10),
         h1 AS (SELECT src root, dst node, max(w) strength FROM t WHERE src IN ('s1', 's2', 's3') GROUP BY 1, 2), h2 AS (SELECT h1.root, t.dst node, max(w) strength FROM h1 JOIN t ON h1.node = t.src GROUP BY 1, 2)
         SELECT root, node, 1 hop, strength FROM h1 WHERE root <> node UNION ALL SELECT root, node, 2, strength FROM h2 WHERE root <> node AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.root = h2.root AND h1.node = h2.node)""",
@@ -119,6 +120,12 @@ ORACLE = {
         p0 AS (SELECT ['s1'] path, 1.0::DOUBLE score UNION ALL SELECT ['s2'], 0.9), p1 AS (SELECT list_append(path, dst) path, greatest(0.0, score + g - 0.15) score FROM p0 JOIN t ON src = path[-1] WHERE NOT list_contains(path, dst) ORDER BY score DESC, path LIMIT 20),
         p2 AS (SELECT list_append(path, dst) path, greatest(0.0, score + g - 0.15) score FROM p1 JOIN t ON src = path[-1] WHERE NOT list_contains(path, dst) ORDER BY score DESC, path LIMIT 20)
         SELECT array_to_string(path, '>') path, round(score, 6) score FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) ORDER BY score DESC, path LIMIT 20""",
+    "shortest_path": f"""WITH RECURSIVE {_R}, r AS (SELECT 's1' node, ['s1'] path UNION ALL SELECT node, path FROM (SELECT u.dst node, min(list_append(r.path, u.dst)) path FROM r JOIN u ON r.node = u.src WHERE len(r.path) < 3 GROUP BY 1))
+        SELECT (unnest(range(len(path))))::INT place, unnest(path) node FROM (SELECT path FROM r WHERE node = 's7' ORDER BY len(path), path LIMIT 1)""",
+    "page_rank": f"""WITH {_R}, n AS (SELECT DISTINCT src node FROM u), o AS (SELECT src, count(*) k FROM e GROUP BY 1), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) r FROM n)"""
+    + "".join(f""", r{i} AS (SELECT n.node, 0.15 / (SELECT count(*) FROM n) + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n) + 0.85 * coalesce(g, 0) r
+        FROM n LEFT JOIN (SELECT dst node, sum(r / k) g FROM e JOIN o USING (src) JOIN r{i - 1} x ON x.node = e.src GROUP BY 1) USING (node))""" for i in (1, 2, 3))
+    + " SELECT node, round(round(r, 12), 6) rank FROM r3 ORDER BY round(r, 12) DESC, node LIMIT 50",
     "connected_entities": """WITH p AS (SELECT DISTINCT segment_id s, target_id t FROM provenance WHERE target_type = 'entity' AND segment_id IS NOT NULL), a AS (SELECT t FROM p WHERE s = (SELECT min(s) FROM p)), b AS (SELECT DISTINCT s FROM p WHERE t IN (SELECT t FROM a)), c AS (SELECT DISTINCT t FROM p WHERE s IN (SELECT s FROM b))
         SELECT s segment_id, count(*) support FROM p WHERE t IN (SELECT t FROM c) GROUP BY 1""",
 }

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "relational", "graphs", "texts", "recall")
+MODULES = ("retrieval", "relational", "graphs", "texts", "recall", "scoring", "memory")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

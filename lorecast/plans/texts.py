@@ -53,10 +53,6 @@ def session_states(s: SparkSession, d: str) -> DataFrame:
     return _messages(s, d).groupBy(T.best_state(F.col("text")).alias("state")).agg(F.count("*").alias("n"))
 
 
-def specificity(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.round(T.specificity(F.col("text")), 6).alias("specificity"))
-
-
 def causal_pairs(s: SparkSession, d: str) -> DataFrame:
     found = X.causes(_messages(s, d), "segment_id", "text")
     return found.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("segment_id").alias("segments"))
@@ -85,7 +81,7 @@ def text_dates(s: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_vector(s: SparkSession, d: str) -> DataFrame:
-    rows = _docs(s, d).where("created_at is not null").select("doc_id", X.temporal_features(F.col("created_at"), F.lit("2026-06-01").cast("timestamp"), F.col("text")).alias("v"))
+    rows = _docs(s, d).where("created_at is not null").select("doc_id", X.temporal_features(F.col("created_at"), F.lit("2026-06-01").cast("timestamp"), F.col("text"), F.col("doc_id") % 10, F.lit(10), F.lit("2020-01-01").cast("timestamp")).alias("v"))
     return rows.select("doc_id", *[F.round(F.element_at("v", i + 1), 6).alias(f"f{i}") for i in range(12)])
 
 
@@ -155,7 +151,7 @@ def stream_hours(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_v1, classify_v2, intents, index_routes, corroborations, session_states, specificity, causal_pairs, causal_merge, claims_spo, procedure_steps, text_dates, temporal_vector, evidence_scores, memory_decay,
+        classify_v1, classify_v2, intents, index_routes, corroborations, session_states, causal_pairs, causal_merge, claims_spo, procedure_steps, text_dates, temporal_vector, evidence_scores, memory_decay,
         entity_promotion, segment_importance, chunk_segments, topic_episodes, plain_paragraphs, markdown_segments, stream_sessions, stream_hours,
     )
 }

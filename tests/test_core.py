@@ -70,7 +70,7 @@ def test_scores(spark):
     assert one(spark, scores.source_diversity(lit(1), lit(5))) == 0.5
     assert one(spark, scores.success_rate(lit(0), lit(0))) == 0.5
     assert one(spark, scores.adaptive_threshold(lit(0.5), lit(1), lit(10))) == pytest.approx(0.55)
-    assert one(spark, scores.legacy_tier(lit(0.8))) == "manifold"
+    assert one(spark, scores.legacy_tier(lit(0.8))) == "promoted"
     edge = F.array(F.struct(F.lit("SUPPORTS").alias("type"), lit(1).alias("weight"), lit(0.5).alias("confidence")))
     assert one(spark, scores.path_score(lit(0.5), edge, F.lit(1), lit(0), F.lit(0))) == pytest.approx(0.85)
 

@@ -1,33 +1,37 @@
 """Problem 6: encoding a corpus with a public byte-level BPE tokenizer, inside the JVM.
 
-The vocabulary's ranks become one literal of the plan: an array of small maps, addressed by the CRC of the bytes. A
-word that is a token as a whole is looked up where it stands. The other words, distinct over the corpus, are folded
-once: `aggregate` merges the adjacent pair of lowest rank until none is left, and keeps the ranks of the pairs beside the
-parts so that a merge looks up two new pairs only. Words travel as one character per byte (ISO-8859-1).
+The vocabulary's ranks become a literal of the plan: an array of small maps, addressed by the hash of the word. Texts are
+split once; a word that is a token as a whole is looked up as it stands, and what is kept of a text is its ids with holes
+and the words of the holes, written to the shared folder. Such words are counted over the whole corpus, the FREQUENT
+most common of them folded once each, and their ids become a second literal; words that are less common are folded where
+they stand. So no text and no list of ids is ever shuffled, only counts of distinct words, and no word is a hot key.
 
-Frequent words are tokens of their own and never leave their row, so the join by word sees rare words only; a frequent
-word that is no token is met by the adaptive skew join. Words are joined by value and put back by (document, place).
+A word is folded over its bytes, one character each (ISO-8859-1): `aggregate` merges the adjacent pair of lowest rank
+until none is left, and keeps the ranks of the pairs beside the parts so that a merge looks up two new pairs only. Words
+of more than LONG bytes, for which that would be quadratic, go through a heap over a linked list in an Arrow batch.
 
 Defined cases: a null or empty text gives an empty list; repeated rows and repeated keys each give their own row; a null
-key is kept; a text of any length is encoded as a whole (a single word of n bytes costs n * n element copies); strings
-that look like special tokens are ordinary text.
+key is kept; a text of any length is encoded as a whole; strings that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecast.io import table
+from lorecast.plans.materialize import store
 
 TOKENIZERS = "/opt/tokenizers"
-BUCKETS = 16384
+#: Buckets of a literal map (a power of two), words whose ids become a literal, and bytes from which a word is long.
+BUCKETS, FREQUENT, LONG = 65536, 16384, 256
 NONE = 2147483647
 Rank = Callable[[Column], Column]
 #: The pattern that splits a text into words before byte-level BPE, as published with the vocabulary.
@@ -42,25 +46,55 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankMap:
-    """The ranks as one literal of the plan. `within` binds it to a variable, so that an expression holds it once."""
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The 32 bit hash that Spark's `hash` gives for a string."""
+    m, h = 0xFFFFFFFF, seed
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            word = piece.decode("iso-8859-1")
-            buckets[zlib.crc32(word.encode()) % BUCKETS][word] = rank
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    def mix(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & m
+        k = (k << 15 | k >> 17) * 0x1B873593 & m
+        h ^= k
+        return (h << 13 | h >> 19) * 5 + 0xE6546B64 & m
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = mix(h, int.from_bytes(data[i : i + 4], "little"))
+    for c in data[whole:]:  # each byte left over by itself, with its sign
+        h = mix(h, (c - 256 if c > 127 else c) & m)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
+class WordMap:
+    """Values of words as one literal of the plan. `within` binds it to a variable, so that an expression holds it once."""
+
+    def __init__(self, values: dict[str, object], kind: str) -> None:
+        buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
+        for word, value in values.items():
+            buckets[murmur3(word.encode()) & BUCKETS - 1][word] = value
+        self.literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
 
     def within(self, use: Callable[[Rank], Column]) -> Column:
-        """use(rank), where rank gives the rank of a word (one character per byte), NULL for none."""
-        return _let(
-            self.literal,
-            lambda ranks: use(lambda word: F.try_element_at(F.get(ranks, F.pmod(F.crc32(word), F.lit(BUCKETS)).cast("int")), word)),
-        )
+        """use(find), where find gives the value of a word, NULL for none."""
+        return _let(self.literal, lambda found: use(lambda word: F.try_element_at(F.get(found, F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))), word)))
 
-    def of(self, word: Column) -> Column:
-        return self.within(lambda rank: rank(word))
+
+def byte_ranks(ranks: dict[bytes, int]) -> WordMap:
+    """The ranks of pieces, one character a byte."""
+    return WordMap({piece.decode("iso-8859-1"): rank for piece, rank in ranks.items()}, "int")
+
+
+def word_ranks(ranks: dict[bytes, int]) -> WordMap:
+    """The ranks of the pieces that are text by themselves, as text."""
+    found = {}
+    for piece, rank in ranks.items():
+        try:
+            found[piece.decode()] = rank
+        except UnicodeDecodeError:  # part of a character: never a word
+            pass
+    return WordMap(found, "int")
 
 
 def byte_word(word: Column) -> Column:
@@ -113,46 +147,79 @@ def merge_word(word: Column, rank: Rank) -> Column:
     return F.when(size == 1, F.array(rank(word))).otherwise(F.transform(folded, rank))
 
 
-def _short_descriptions(spark: SparkSession) -> None:
-    """Keeps the literal out of the plan descriptions that the driver stores, unless the session limits them already."""
-    name = "spark.sql.maxPlanStringLength"
-    found = spark.conf.get(name).rstrip("b")
-    if found.isdigit() and int(found) > 1 << 24:
-        spark.conf.set(name, str(1 << 16))
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word by ranked merges: a heap of pairs over a linked list, in n log n steps."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and (j := after[i]) < len(parts) and (rank := ranks.get(both := parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (rank, i, both))
 
+    for i in range(len(parts)):
+        offer(i)
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else len(parts)
+        if j >= len(parts) or parts[i] + parts[j] != both:
+            continue  # one of the two was merged since
+        parts[i], parts[j] = both, None
+        after[i] = after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[p] for p in parts if p is not None]
 
-def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
+
+INTS = "array<int>"
+
+
+def marked(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
+    """(key, ids, places, words) of every row of df: ids with a hole (null) for each word that is no token, where the holes are, and their words."""
+    words = split_words(F.when(F.length(df[text]) > 0, df[text]))
+
+    def split(ws: Column, ids: Column) -> Column:
+        holes = F.filter(F.transform(ids, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+        return _let(holes, lambda at: F.struct(ids.alias("ids"), at.alias("places"), F.transform(at, lambda i: F.get(ws, i)).alias("words")))
+
+    both = word_ranks(ranks).within(lambda rank: _let(words, lambda ws: _let(F.transform(ws, rank), lambda ids: split(ws, ids))))
+    return df.select(df[key].alias("key"), both.alias("m")).select("key", "m.*")
+
+
+def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
     """(key, ids) of every row of df, without special tokens."""
-    _short_descriptions(df.sparkSession)
-    ranked = RankMap(ranks)
-    rows = df.select(df[key].alias("key"), df[text].alias("text")).withColumn("hash", F.xxhash64("text"))
-    full = rows.where(F.length("text") > 0)
-    found = (
-        full.dropDuplicates(["key", "hash"])
-        .select("key", "hash", F.posexplode(split_words(F.col("text"))).alias("at", "raw"))
-        .select("key", "hash", "at", byte_word(F.col("raw")).alias("word"))
-        .where(ranked.of(F.col("word")).isNull())
-    )
-    distinct = (
-        full.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("raw"))
-        .select(byte_word(F.col("raw")).alias("word"))
-        .where(ranked.of(F.col("word")).isNull())
-        .distinct()
-    )
-    codes = distinct.select("word", ranked.within(lambda rank: merge_word(F.col("word"), rank)).alias("ids"))
-    merged = found.join(codes, "word").groupBy("key", "hash").agg(F.collect_list(F.struct("at", "ids")).alias("merged"))
-    merged = merged.select(F.col("key").alias("k"), F.col("hash").alias("h"), "merged")
-    whole = ranked.within(
-        lambda rank: F.filter(
-            F.transform(split_words(F.col("text")), lambda w, i: F.struct(i.alias("at"), rank(byte_word(w)).alias("id"))),
-            lambda x: x["id"].isNotNull(),
-        )
-    )
-    placed = F.transform(whole, lambda x: F.struct(x["at"].alias("at"), F.array(x["id"]).alias("ids")))
-    rest = F.coalesce("merged", F.array().cast("array<struct<at:int,ids:array<int>>>"))
-    ids = F.flatten(F.transform(F.array_sort(F.concat(placed, rest)), lambda x: x["ids"]))
-    joined = rows.join(merged, F.col("key").eqNullSafe(F.col("k")) & F.col("hash").eqNullSafe(F.col("h")), "left")
-    return joined.select("key", F.when(F.length("text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+    rows = store(marked(df, key, text, ranks))
+    pieces = byte_ranks(ranks)
+    counts = rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= long).groupBy("word").agg(F.count("*").alias("n"))
+    common = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word").repartition(df.sparkSession.sparkContext.defaultParallelism, "word")
+    folded = common.select("word", pieces.within(lambda rank: merge_word(byte_word(F.col("word")), rank)).alias("ids"))
+    known = WordMap({row.word: row.ids for row in folded.collect()}, INTS)  # at most `frequent` words of at most `long` bytes
+
+    @F.pandas_udf(f"array<{INTS}>")
+    def fold_long(words: pd.Series) -> pd.Series:
+        memo: dict[str, list[int]] = {}
+        return pd.Series([[memo[w] if w in memo else memo.setdefault(w, merge_long(w.encode(), ranks)) if len(w.encode()) > long else None for w in ws] for ws in words])
+
+    def filled(part: DataFrame, folds: bool) -> DataFrame:
+        def whole(find: Rank, rank: Rank) -> Column:
+            def code(at: Column) -> Column:
+                short = _let(F.get("words", at), lambda w: F.coalesce(find(w), merge_word(byte_word(w), rank)))
+                return F.coalesce(F.get("folds", at), short) if folds else short
+
+            def piece(place: Column, at: Column) -> Column:  # the ids between a hole and the one before, and those of its word
+                before = F.coalesce(F.get("places", at - 1), F.lit(-1))
+                return F.concat(F.slice("ids", before + 2, place - before - 1), code(at))
+
+            last = F.element_at("places", -1)
+            return F.concat(F.flatten(F.transform("places", piece)), F.slice("ids", last + 2, F.size("ids") - last - 1))
+
+        ids = known.within(lambda find: pieces.within(lambda rank: whole(find, rank)))
+        return part.select("key", F.when(F.size("places") > 0, ids).otherwise(F.coalesce("ids", F.array().cast(INTS))).alias("ids"))
+
+    heavy = F.coalesce(F.exists("words", lambda w: F.octet_length(w) > long), F.lit(False))
+    return filled(rows.where(~heavy), False).unionByName(filled(rows.where(heavy).withColumn("folds", fold_long("words")), True))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -276,11 +276,14 @@ def fit(rows: list[list[int]], sure: np.ndarray, rounds: int = ROUNDS, prior: fl
     return odds
 
 
-def model(df: DataFrame, text: str, sample: int = SAMPLE) -> np.ndarray:
-    """The model of a corpus, fitted on the passages of at most `sample` of its records, drawn by the hash of their text."""
-    texts = df.select(df[text].alias("text")).where(F.length("text") > 0)
+def model(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> np.ndarray:
+    """The model of a corpus, fitted on the passages of at most `sample` of its records, drawn by the hash of key and text.
+
+    Records that share a text are drawn one by one, so a form that is repeated word for word is as likely seen as others.
+    """
+    texts = df.select(df[text].alias("text"), F.xxhash64(df[key].cast("string"), df[text]).alias("h")).where(F.length("text") > 0)
     share = max(1, texts.count() // sample)
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).orderBy(F.xxhash64("text"), "text").limit(sample)
+    drawn = texts.where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "text").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,7 +291,7 @@ def model(df: DataFrame, text: str, sample: int = SAMPLE) -> np.ndarray:
             yield pd.DataFrame(rows, columns=["features", "sure"])
 
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
-    got = drawn.repartition(tasks, "text").mapInPandas(run, "features binary, sure boolean").toPandas()  # of at most `sample` records
+    got = drawn.repartition(tasks, "h").mapInPandas(run, "features binary, sure boolean").toPandas()  # of at most `sample` records
     return fit([np.frombuffer(x, np.int32).tolist() for x in got["features"]], got["sure"].to_numpy(bool))
 
 
@@ -332,7 +335,7 @@ class Scorer:
 
 def find_residue(df: DataFrame, key: str, text: str, odds: np.ndarray | None = None) -> DataFrame:
     """(key, passages, passage, score) of the rows of df that are or hold residue, with the passage that shows it best."""
-    odds = model(df, text) if odds is None else odds
+    odds = model(df, key, text) if odds is None else odds
     sent = df.sparkSession.sparkContext.broadcast(odds)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

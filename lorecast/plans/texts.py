@@ -179,3 +179,25 @@ ORACLE = {
         SELECT doc_id, len(l)::INT n, l[1] AS first, l[-1] AS last FROM d WHERE len(l) > 0""",
     "procedure_steps": r"""SELECT doc_id, (CASE WHEN a >= 2 THEN a ELSE b END)::INT steps FROM (SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:\d+[.)]|Step \d+:?)\s+(.+)$')) a, len(regexp_extract_all(text, '(?m)^\s*[-*•]\s+(.+)$')) b FROM documents WHERE text IS NOT NULL) WHERE a >= 2 OR b >= 2""",
 }
+
+#: Letters beyond ASCII are letters for the queries' word boundaries, but not for those of SQL.
+_MESSAGES = "(SELECT regexp_replace(min(text), '[À-ÖØ-öø-ɏ぀-ヿ一-鿿]', 'q', 'g') AS text FROM segments WHERE text IS NOT NULL GROUP BY segment_id)"
+
+
+def _first(patterns: list[tuple[str, str]], default: str, of: str = "trim(text, ' ')") -> str:
+    cases = " ".join(f"WHEN regexp_matches({of}, '(?i-s){p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in patterns)
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+_ROUTE = _first([(next(iter(extra)), p) for p, extra in Q.ROUTES], "segments", "text")
+_SHARES = [round((Q.BASE | extra).get("segments", 0) / sum((Q.BASE | extra).values()), 6) for _, extra in Q.ROUTES]
+_COUNTS = ", ".join("(" + " + ".join(f"regexp_matches(text, '(?i-s){p.replace(chr(39), chr(39) * 2)}')::INT" for p in ps) + f") {k}" for k, ps in Q.INTENTS.items())
+_ALL = " + ".join(Q.INTENTS)
+ORACLE |= {
+    "classify_v1": f"SELECT {_first(T.MODES_V1, 'factual')} AS mode, count(*) n FROM {_MESSAGES} GROUP BY 1",
+    "classify_v2": f"SELECT {_first(T.MODES_V2, 'synthesis')} AS mode, count(*) n FROM {_MESSAGES} GROUP BY 1",
+    "intents": f"""WITH c AS (SELECT {_COUNTS} FROM {_MESSAGES}), b AS (SELECT *, {_ALL} AS whole, greatest({', '.join(Q.INTENTS)}) best FROM c)
+        SELECT CASE WHEN whole = 0 OR best / whole < 0.4 THEN 'default' {' '.join(f"WHEN {k} = best THEN '{k}'" for k in Q.INTENTS)} END intent, count(*) n FROM b GROUP BY 1""",
+    "index_routes": f"""SELECT {_ROUTE} AS index, CASE WHEN regexp_matches(text, '(?i-s){Q.RECENT}') THEN 'recent' WHEN regexp_matches(text, '(?i-s){Q.HISTORICAL}') THEN 'historical' ELSE 'any' END hint,
+        (CASE {' '.join(f"WHEN regexp_matches(text, '(?i-s){p.replace(chr(39), chr(39) * 2)}') THEN {x}" for (p, _), x in zip(Q.ROUTES, _SHARES, strict=True))} ELSE {round(Q.BASE['segments'] / sum(Q.BASE.values()), 6)} END)::DOUBLE segments, count(*) n FROM {_MESSAGES} GROUP BY 1, 2, 3""",
+}

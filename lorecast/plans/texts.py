@@ -137,15 +137,19 @@ def markdown_segments(s: SparkSession, d: str) -> DataFrame:
     return parsers.with_parents(parsers.markdown(rows)).groupBy("segment_type").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
+def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    checkpoint_dir(s)
+    name = f"{name}_{uuid.uuid4().hex}"
+    return S.drain(stream, name, f"{s.sparkContext.getCheckpointDir()}/streams/{name}")
+
+
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     """Closed sessions of the event stream, read to its present end."""
-    name = f"sessions_{uuid.uuid4().hex}"
-    return S.drain(S.session_windows(S.read_events(s, d)), name, f"{checkpoint_dir(s)}/streams/{name}")
+    return _drained(s, S.session_windows(S.read_events(s, d)), "sessions")
 
 
 def stream_hours(s: SparkSession, d: str) -> DataFrame:
-    name = f"hours_{uuid.uuid4().hex}"
-    return S.drain(S.tumbling(S.read_events(s, d)), name, f"{checkpoint_dir(s)}/streams/{name}")
+    return _drained(s, S.tumbling(S.read_events(s, d)), "hours")
 
 
 QUERIES = {

@@ -89,6 +89,14 @@ def fresh(cache: DataFrame, as_of: str, seconds: int = 300) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into a table in memory, for tests and small reports."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there; its rows are files beside the checkpoint, so none of them passes through the driver.
+
+    Files can only be appended to: other modes, which send an aggregate again and again, go to a table in memory and are for small reports.
+    """
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        writer.format("memory").start().awaitTermination()
+        return stream.sparkSession.table(name)
+    rows = f"{checkpoint}-rows"
+    writer.format("parquet").start(rows).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)

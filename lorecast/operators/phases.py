@@ -48,17 +48,32 @@ def mixed(parts: list[tuple[DataFrame, float]], key: str, size: int, order: list
     return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_place")
 
 
+def _subsets(c: Column, least: float) -> Column:
+    """Of a set of few words, all subsets that hold more than the share `least` of it."""
+    n = F.size(c)
+    masks = F.filter(F.sequence(F.lit(1), (F.pow(F.lit(2), F.least(n, F.lit(10))) - 1).cast("int")), lambda m: F.bit_count(m) / n > least)
+    return F.transform(masks, lambda m: F.filter(c, lambda _, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+
+
 def without_repeats(new: DataFrame, key: str, words: str, known: DataFrame, least: float = 0.7) -> DataFrame:
-    """The rows of new of which no known row has a word set with a Jaccard above `least`.
+    """The rows of new of which no known row has a word set with a Jaccard above `least`; repeated word sets are compared once.
 
-    Candidates share a word, and only such as the smaller set can't do without; repeated word sets are compared once.
+    Two sets of n and m words are that near if they have a subset of i words in common and i / (n + m - i) is above `least`. So sets of
+    up to 10 words are asked by their subsets and the other's size, as a semi-join: its work doesn't grow with how often a word occurs.
+    Of larger sets, candidates share a word, and only such as the smaller set can't do without.
     """
+    small = 10
     sets = lambda df, name: df.select(F.array_sort(F.array_distinct(words)).alias(name)).where(F.size(name) > 0).distinct()
     prefix = lambda c: F.slice(c, F.lit(1), (F.size(c) - F.ceil(F.size(c) * least) + 1).cast("int"))
     a, b = sets(new, "a"), sets(known, "b")
-    met = a.withColumn("w", F.explode(prefix(F.col("a")))).join(b.withColumn("w", F.explode(prefix(F.col("b")))), "w").select("a", "b").distinct()
-    same = met.where(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) > least).select("a").distinct()
-    return new.withColumn("_a", F.array_sort(F.array_distinct(words))).join(same, F.col("_a") == F.col("a"), "left_anti").drop("_a")
+    parts = a.where(F.size("a") <= small).withColumn("s", F.explode(_subsets(F.col("a"), least)))
+    fit = F.filter(F.sequence(F.size("s"), F.lit(small)), lambda m: F.size("s") / (F.size("a") + m - F.size("s")) > least)
+    held = b.where(F.size("b") <= small).select(F.explode(_subsets(F.col("b"), least)).alias("s"), F.size("b").alias("m"))
+    few = parts.withColumn("m", F.explode(fit)).join(held, ["s", "m"], "left_semi").select("a")
+    wide = lambda df, c: df.where(F.size(c) > small * least).withColumn("w", F.explode(prefix(F.col(c))))
+    met = wide(a, "a").join(wide(b, "b"), "w").where(F.greatest(F.size("a"), F.size("b")) > small).select("a", "b").distinct()
+    many = met.where(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) > least).select("a")
+    return new.withColumn("_a", F.array_sort(F.array_distinct(words))).join(few.union(many), F.col("_a") == F.col("a"), "left_anti").drop("_a")
 
 
 def orchestrate(scores: DataFrame, key: str, spaces: dict[str, float], k: int, least: float = 0.05) -> DataFrame:

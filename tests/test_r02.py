@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorecast.operators import phases as P
 from lorecast.streaming import sessions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,3 +19,32 @@ def test_drained_rows_are_files_and_not_a_table_in_the_driver(spark, tmp_path):
     assert not spark.catalog.tableExists("t_files")
     none = sessions.drain(sessions.session_windows(sessions.read_events(spark, FOLDER).where("false")), "t_none", str(tmp_path / "d"))
     assert none.columns == got.columns and none.count() == 0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.7, 0.75])
+def test_repeats_of_small_and_large_sets(spark, least):
+    rng = random.Random(3)
+    sets = [rng.sample("abcdefghijklmnop", 9 + i % 5) if i % 2 else rng.choices("abcdefg", k=i % 8) for i in range(120)] + [["a", None], ["a", None, "b"]]
+    new, known = sets[::2] + sets[1::4], sets[1::2] + sets[::4]
+    df = lambda rows: spark.createDataFrame(list(enumerate(rows)), "k int, w array<string>")
+    far = lambda a, b: not a or not b or len(set(a) & set(b)) / len(set(a) | set(b)) <= least
+    want = [i for i, a in enumerate(new) if all(far(a, b) for b in known)]
+    assert sorted(r.k for r in P.without_repeats(df(new), "k", "w", df(known), least).collect()) == want
+
+
+def test_repeats_of_few_words_are_not_compared_pair_by_pair(spark):
+    """All pairs share their first words, so a join by words makes 160 000 rows; one pair is near."""
+    df = lambda odd: spark.range(400).select("id", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), 2 * F.col("id") + F.when(F.col("id") > 0, odd).otherwise(0))).alias("w"))
+    got = P.without_repeats(df(1), "id", "w", df(0))
+    got.collect()
+    most, todo = 0, [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getName():
+            todo.append(node.plan())
+        n = node.metrics().get("numOutputRows")
+        most = max(most, n.get().value() if n.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert got.count() == 399 and 400 <= most < 40_000

@@ -5,10 +5,15 @@ Only the number of rows of a frontier reaches the driver. Depths are bounded as
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from lorecast.functions.scores import RELATION_PRIORS, lookup
@@ -47,49 +52,207 @@ def shortest_path(edges: DataFrame, a: str, b: str, start: str, goal: str, depth
     return front.where(F.col("node") == goal).select(F.posexplode("path").alias("place", "node"))
 
 
-def two_hop_counts(both: DataFrame, block: int = 4096) -> DataFrame:
-    """(node, two_hop): distinct nodes two hops away that are neither the node nor next to it, of distinct (src, dst) in both directions.
-
-    Nodes are dealt into blocks of about `block`. A node in the middle sends its neighbours once a pair of the blocks they are in, as
-    two lists, so one of degree d costs at most 2 * d * blocks numbers instead of d * d rows; each pair of blocks is one bit matrix.
+#: Numbers of an edge piece that a task sends at once, and edges (each way) of a block of nodes.
+_PIECE, _BLOCK = 1_000_000, 6_000_000
+_PACK = "names binary, out binary, into binary, ends binary, near binary, code binary, kinds array<string>, typed binary, kind binary"
+
+
+def _bytes(*arrays: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(x).tobytes() for x in arrays]
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers as their least one and offsets of four or eight bytes."""
+    low = int(x.min())
+    wide = int(x.max()) - low >= 1 << 32
+    return np.int64(low).tobytes() + (x - low).astype(np.uint64 if wide else np.uint32).tobytes() + bytes([wide])
+
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b[8:-1], np.uint64 if b[-1] else np.uint32).astype(np.int64) + np.frombuffer(b[:8], np.int64)[0]
+
+
+def _deal(blocks: int, typed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deals edges, or (node, kind) rows, to the blocks of their nodes: pieces (block, way, a, b, kinds) of many at once."""
+
+    def pieces(a: np.ndarray, other: np.ndarray, way: int) -> Iterator[tuple]:
+        of = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(blocks)
+        order = np.argsort(of, kind="stable")
+        a, other, cuts = a[order], other[order], np.searchsorted(of[order], np.arange(blocks + 1, dtype=np.uint64))
+        for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if y > x:
+                yield (r, way, _narrow(a[x:y]), b"", other[x:y].tolist()) if typed else (r, way, _narrow(a[x:y]), _narrow(other[x:y]), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                n += batch.num_rows
+            if n and (batch is None or n >= _PIECE):
+                a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                rows = [*pieces(a, b, 0), *(() if typed else pieces(b, a, 1))]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["r", "way", "a", "b", "kinds"])
+                held, n = [], 0
+
+    return run
+
+
+def _codes(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, and the place of each; with less memory than np.unique takes for both."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    names = np.unique(whole)
+    return names, np.concatenate([np.searchsorted(names, part).astype(np.int32) for part in np.array_split(whole, len(whole) // _PIECE + 1)])
+
+
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a block, sorted, with their degrees, their distinct neighbours as codes, and their kinds."""
+    edges = group[group["way"] < 2]
+    a = [_wide(x) for x in edges["a"]]
+    if not a:
+        return pd.DataFrame(columns=[c.split()[0] for c in _PACK.split(", ")])
+    out = np.repeat(edges["way"].to_numpy() == 0, [len(x) for x in a])
+    names, a = _codes(a)
+    near, b = _codes([_wide(x) for x in edges["b"]])
+    degree = [np.bincount(a[way], minlength=len(names)) for way in (out, ~out)]
+    both = a.astype(np.int64)
+    del a
+    both *= len(near)
+    both += b
+    del b
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])]
+    ends = np.cumsum(np.bincount(both // len(near), minlength=len(names)))
+    types = group[group["way"] == 2]
+    typed = np.concatenate([np.zeros(0, np.int64), *map(_wide, types["a"])])
+    at = np.minimum(np.searchsorted(names, typed), len(names) - 1)
+    kind, kinds = pd.factorize(np.array([k for some in types["kinds"] for k in some], dtype=object))
+    held = (names[at] == typed) & (kind >= 0)
+    row = [*_bytes(names, *degree, ends, near, (both % len(near)).astype(np.int32)), list(kinds), *_bytes(at[held].astype(np.int32), kind[held].astype(np.int32))]
+    return pd.DataFrame([row], columns=[c.split()[0] for c in _PACK.split(", ")])
+
+
+def _at(names: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of sorted numbers in sorted names; the number of names for those that aren't there."""
+    at = np.searchsorted(names, asked)
+    at[at < len(names)] = np.where(names[at[at < len(names)]] == asked[at < len(names)], at[at < len(names)], len(names))
+    return at
+
+
+def _meet(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """For the nodes of one block: how many nodes of another are two hops away, and the kinds of their neighbours in it."""
+    get = lambda c, kind=np.int64: np.frombuffer(row.column(c)[0].as_buffer(), kind)
+    names, ends, near, code = get("names"), get("ends"), get("near"), get("code", np.int32)
+    there, theirs, shared, other = get("names2"), get("ends2"), get("near2"), get("code2", np.int32)
+    size, kinds = len(there), row.column("kinds2")[0].as_py()
+    # the other block by the nodes in the middle
+    stops = np.cumsum(np.bincount(other, minlength=len(shared)))
+    starts = np.append(stops - np.diff(stops, prepend=0), 0)
+    by = other.astype(np.int64)
+    by <<= 32
+    by |= np.repeat(np.arange(size, dtype=np.int32), np.diff(theirs, prepend=0))
+    by.sort()
+    cols = by.astype(np.int32)  # the lower half
+    del by
+    middle = _at(shared, near)
+    starts, stops = starts[middle], np.append(stops, 0)[middle]
+    # direct neighbours in the other block
+    of = _at(there, near).astype(np.int32)[code]
+    edge = np.flatnonzero(of < size)
+    of = of[edge]
+    first, far, own = np.searchsorted(edge, ends).tolist(), np.zeros(len(names), np.int64), _at(there, names).astype(np.int32)
+    home = own < size
+    begin = start = 0
+    for i, (end, stop) in enumerate(zip(ends.tolist(), first, strict=True)):
+        ks = code[begin:end]
+        begin = end
+        some = [cols[x:y] for x, y in zip(starts[ks].tolist(), stops[ks].tolist(), strict=True) if y > x]
+        if some:
+            # what is near counts in and is taken off again
+            off = of[start:stop]
+            if home[i] and own[i] not in off:
+                off = np.append(off, own[i])
+            one = np.concatenate([*some, off])
+            one.sort()
+            far[i] = np.count_nonzero(one[1:] != one[:-1]) + 1 - len(off)
+        start = stop
+    typed, kind = get("typed2", np.int32), get("kind2", np.int32)
+    kind = kind[np.argsort(typed, kind="stable")]
+    held = np.bincount(typed, minlength=size)  # kinds of each node there
+    many = held[of]
+    node = np.repeat(np.searchsorted(ends, edge, "right"), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(held) - held)[of], many)
+    keys, n = np.unique(node * np.int64(max(1, len(kinds))) + kind[place], return_counts=True)
+    zero = lambda k: pa.array(np.zeros(k, np.int64))
+    at_home = names[:1].tolist() == there[:1].tolist()  # each pair of blocks is met once: degrees count at their own
+    columns = ["id", "kind", "n", "two", "out", "into"]
+    degrees = [pa.array(get(c)) if at_home else zero(len(names)) for c in ("out", "into")]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.string()), zero(len(names)), pa.array(far), *degrees], columns)
+    if len(keys):
+        of = pa.array(kinds, pa.string()).take(pa.array(keys % len(kinds)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[keys // len(kinds)]), of, pa.array(n), zero(len(keys)), zero(len(keys)), zero(len(keys))], columns)
+
+
+def _neighbours(edges: DataFrame, types: DataFrame, block: int) -> DataFrame:
+    """(id, kind, n, two, out, into), several rows a node to be added up, of edges (src, dst) and types (node, kind) by long keys.
+
+    Nodes are dealt to blocks of about `block` edges. A block is one row: its nodes and their neighbours as numbers. Each pair of blocks
+    is met by a task that reads both from where they are stored, so only the edges and the sums are shuffled, never paths.
     """
-    nodes = cut(both.select(F.col("src").alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()))
-    blocks = max(1, -(-nodes.count() // block))
-    ids = both.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst")
-    lists = cut(ids.groupBy(F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("part")).agg(F.collect_list("b").alias("near")))
-    pairs = lists.select("k", F.col("part").alias("r"), F.col("near").alias("x")).join(lists.select("k", F.col("part").alias("c"), F.col("near").alias("y")), "k").select("r", "c", "x", "y", F.lit(False).alias("next"))
-    direct = lists.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("r"), F.col("part").alias("c"), F.array("k").alias("x"), F.col("near").alias("y"), F.lit(True).alias("next"))
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        xs, x = np.unique(np.concatenate(group["x"].tolist()), return_inverse=True)
-        ys, y = np.unique(np.concatenate(group["y"].tolist()), return_inverse=True)
-        xs_at, ys_at = (np.split(at, np.cumsum(group[c].map(len))[:-1]) for c, at in (("x", x), ("y", y)))
-        far = np.zeros((len(xs), len(ys)), dtype=bool)
-        order = np.argsort(group["next"].to_numpy(), kind="stable")  # direct neighbours last, as they are taken away
-        for i, one in zip(order, group["next"].to_numpy()[order], strict=True):
-            far[xs_at[i][:, None], ys_at[i]] = not one
-        _, i, j = np.intersect1d(xs, ys, return_indices=True)
-        far[i, j] = False
-        return pd.DataFrame({"id": xs, "n": far.sum(axis=1)})
-
-    found = pairs.unionByName(direct).groupBy("r", "c").applyInPandas(count, "id bigint, n bigint")
-    return found.groupBy("id").agg(F.sum("n").alias("two_hop")).where("two_hop > 0").join(nodes, "id").select("node", "two_hop")
-
-
-def fingerprints(edges: DataFrame, types: DataFrame) -> DataFrame:
-    """(node, in_degree, out_degree, kinds, two_hop): of (src, dst, type) edges and (node, kind) nodes.
-
-    `kinds` counts the kinds of direct neighbours, `two_hop` the nodes two hops away that are neither the node nor next to it.
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    blocks = max(1, -(-2 * edges.count() // block))
+    piece = "r int, way int, a binary, b binary, kinds array<string>"
+    dealt = edges.mapInArrow(_deal(blocks, False), piece)
+    if types is not None:
+        kinds = types.where("node is not null and kind is not null").select("node", "kind")
+        dealt = dealt.unionByName(kinds.mapInArrow(_deal(blocks, True), piece).withColumn("way", F.lit(2)))
+    packs = cut(dealt.groupBy("r").applyInPandas(_pack, _PACK))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _meet(batch.slice(i, 1))
+
+    pairs = packs.hint("shuffle_replicate_nl").crossJoin(packs.toDF(*[f"{c}2" for c in packs.columns]))
+    return pairs.mapInArrow(meet, "id bigint, kind string, n bigint, two bigint, out bigint, into bigint")
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (src, dst) by long keys, and the (node, id) that name them; nodes that are long numbers are their own keys."""
+    if edges.schema["src"].dataType == edges.schema["dst"].dataType == LongType():
+        return edges.select("src", "dst"), None
+    nodes = cut(undirected(edges, "src", "dst").select(F.col("src").alias("node")).where("node is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    ids = edges.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst")
+    return ids.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes
+
+
+def two_hop_counts(both: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """(node, two_hop): distinct nodes two hops away that are neither the node nor next to it, of distinct (src, dst) in both directions."""
+    edges, nodes = _numbered(both)
+    found = _neighbours(edges, None, block).groupBy("id").agg(F.sum("two").alias("two_hop")).where("two_hop > 0")
+    return found.withColumnRenamed("id", "node") if nodes is None else found.join(nodes, "id").select("node", "two_hop")
+
+
+def fingerprints(edges: DataFrame, types: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """(node, in_degree, out_degree, two_hop, kinds): of (src, dst, type) edges and (node, kind) nodes.
+
+    `kinds` counts the kinds of direct neighbours, `two_hop` the nodes two hops away that are neither the node nor next to it. Nodes that
+    are long numbers are cheapest; others are numbered by two joins.
     """
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
-    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
-    both = undirected(edges, "src", "dst").distinct()
-    kinds = both.join(types, F.col("dst") == F.col("node")).groupBy("src", "kind").agg(F.count("*").alias("n")).groupBy(F.col("src").alias("node"))
-    kinds = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
-    two = two_hop_counts(both)
-    nodes = both.select(F.col("src").alias("node")).distinct()
-    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree", "two_hop")}
-    return nodes.join(out, "node", "left").join(into, "node", "left").join(kinds, "node", "left").join(two, "node", "left").select("node", *zero.values(), "kinds")
+    numbers, nodes = _numbered(edges)
+    keyed = types if nodes is None else types.join(nodes, "node").select(F.col("id").alias("node"), "kind")
+    rows = _neighbours(numbers, keyed, block)
+    rows = rows.withColumnRenamed("id", "node") if nodes is None else rows.join(nodes, "id").drop("id")
+    loose = edges.where("src is null or dst is null")  # such edges lead nowhere, but count as degrees
+    ends = [loose.select(F.col(c).alias("node"), *[F.when(F.col(c).isNotNull() & F.lit(x), 1).otherwise(0).cast("bigint").alias(n) for n, x in (("out", c == "src"), ("into", c == "dst"))]) for c in ("src", "dst")]
+    rows = rows.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    some = rows.repartition("node").groupBy("node", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "two", "out", "into")])
+    kinds = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))))
+    found = some.groupBy("node").agg(F.sum("into").alias("in_degree"), F.sum("out").alias("out_degree"), F.sum("two").alias("two_hop"), kinds.alias("kinds"))
+    return found.select("node", z("in_degree"), z("out_degree"), z("two_hop"), "kinds")
 
 
 def multiset_jaccard(counts: DataFrame, node: str, key: str, n: str, pairs: DataFrame) -> DataFrame:

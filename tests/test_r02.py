@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorecast.operators import graph
 from lorecast.operators import phases as P
 from lorecast.streaming import sessions
 
@@ -33,18 +36,36 @@ def test_repeats_of_small_and_large_sets(spark, least):
 
 
 def test_repeats_of_few_words_are_not_compared_pair_by_pair(spark):
-    """All pairs share their first words, so a join by words makes 160 000 rows; one pair is near."""
-    df = lambda odd: spark.range(400).select("id", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), 2 * F.col("id") + F.when(F.col("id") > 0, odd).otherwise(0))).alias("w"))
-    got = P.without_repeats(df(1), "id", "w", df(0))
-    got.collect()
-    most, todo = 0, [got._jdf.queryExecution().executedPlan()]
-    while todo:
-        node = todo.pop()
-        if node.nodeName().startswith("AdaptiveSparkPlan"):
-            todo.append(node.executedPlan())
-        elif "QueryStage" in node.getClass().getName():
-            todo.append(node.plan())
-        n = node.metrics().get("numOutputRows")
-        most = max(most, n.get().value() if n.isDefined() else 0)
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    assert got.count() == 399 and 400 <= most < 40_000
+    """All sets share their first words, so a join by words compares 288 million pairs; a join by subsets compares none."""
+    df = lambda odd: spark.range(12000).select("id", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), 2 * F.col("id") + odd)).alias("w"))
+    began = time.monotonic()
+    assert P.without_repeats(df(1), "id", "w", df(0)).count() == 12000
+    assert time.monotonic() - began < 25
+
+
+def test_fingerprints_of_any_graph_across_blocks(spark):
+    rng = random.Random(5)
+    edges = {(rng.randrange(60) * 10**15 - 7, rng.randrange(60) * 10**15 - 7) for _ in range(150)}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    kinds = [(n, k) for n in near for k in ("x", "y", "z") if rng.random() < 0.4]
+    want = {n: (sum(b == n for _, b in edges), sum(a == n for a, _ in edges), len(set().union(*[near[x] for x in near[n]]) - near[n] - {n}), Counter(k for m, k in kinds if m in near[n])) for n in near}
+    some = next(iter(edges))[0]
+    want[some] = (want[some][0], want[some][1] + 1, *want[some][2:])
+    want[None] = (0, 0, 0, {})
+    df = spark.createDataFrame([*edges, (some, None)], "src long, dst long")
+    types = spark.createDataFrame([*kinds, (5, "x"), (None, "x")], "node long, kind string")
+    for frame, named, block in ((df, types, 60), (df.select(*[F.col(c).cast("string").alias(c) for c in ("src", "dst")]), types.withColumn("node", F.col("node").cast("string")), 10**6)):
+        got = {r.node and int(r.node): (r.in_degree, r.out_degree, r.two_hop, r.kinds or {}) for r in graph.fingerprints(frame, named, block).collect()}
+        assert got == want
+
+
+def test_two_hops_shuffle_edges_and_not_paths(spark):
+    edges = spark.range(200_000).select((F.col("id") % 40_000).alias("src"), (40_000 + F.pmod(F.xxhash64("id"), F.lit(40_000))).alias("dst"))
+    both = edges.union(edges.select("dst", "src")).distinct()
+    written = lambda: sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0)])
+    before = written()
+    assert graph.two_hop_counts(both).count() > 70_000
+    assert written() - before < 60_000_000

@@ -2,23 +2,22 @@
 
 A name is parsed into its kind, its core (family name, or the coined part of an organisation's name) and its second part
 (given name or line of business, nicknames and abbreviations resolved, legal forms and titles dropped). Distinct cores
-are joined within an edit radius by metric-space partitioning:
+are joined within an edit radius by their deletion neighbourhoods:
 
-* pivots are drawn by hash from the cores; a core whose nearest pivot is within RADIUS is at home in its cell;
-* a core is also a guest of every pivot within RADIUS + its own radius. By the triangle inequality, every core within
-  the radius of a home core is then in that cell, so one exact join inside each cell, with the Damerau-Levenshtein
-  metric, misses no pair that has a core at home;
-* cores that are at home nowhere go to the next round, with pivots of their own; a round with as many pivots as cores
-  is the last.
+* an edit is undone by one letter less in each word, so two cores within d edits have a string in common that is made
+  from each by leaving out at most d letters. Each core is a key for every such string, as a hash; cores of more than
+  LONG letters have the pieces of their length as keys instead, of which two edits leave one as it was;
+* keys are shuffled as blocks of numbers; cores with a key in common are candidates, and the Damerau-Levenshtein metric
+  decides.
 
-Cells hold few distinct strings since pivots are close to their cores; repeated names are one string. What grows is the
-comparison of cores with pivots (a vectorised bag distance, and the metric for what it leaves): cores times pivots.
+So the work grows with the names and with the pairs that are near, not with the square of the names.
 
 Nicknames come from a list, which is a parameter, and from the data: an unknown given name that stands mostly beside one
 known given name of the same family name is learned as its nickname. Notes in brackets are no part of a name.
 
-Near cores form families; within one, second parts decide which forms are the same. An initial, an abbreviation that
-fits several words or a missing second part is linked only where one class of the family fits it.
+Second parts decide which forms with equal or near cores are the same. Each link is a row of a join, and the classes are
+the connected components. An initial, an abbreviation that fits several words or a missing second part is linked only
+where one class with an equal or near core fits it.
 
 Defined cases: null or empty names and types, and names without a core, link to nothing; copies of an entity count once
 (the smallest name that has a core); entities with equal names link whatever their tenant; other kinds are left out.
@@ -26,15 +25,15 @@ Defined cases: null or empty names and types, and names without a core, link to
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecast.io import table
@@ -47,8 +46,8 @@ RADIUS = 2
 SHORTEST = 5
 #: Families in which an unknown given name must stand for a known one, and the share of its families, to be learned.
 SEEN, MOSTLY = 3, 0.5
-#: Most pivots of a round; they are the only thing sent to all tasks.
-PIVOTS = 16384
+#: Letters from which the keys of a core are its pieces; keys of a group that is one step of a task, about.
+LONG, GROUP = 26, 250_000
 KINDS = {
     "person": ["person", "people", "persons", "human", "individual", "per", "name"],
     "organisation": ["organization", "organisation", "org", "company", "organizations", "organisations", "companies", "firm", "corporation", "business", "enterprise", "orgs"],
@@ -116,15 +115,10 @@ def distance(a: str, b: str, most: int = 99) -> int:
     return min(d[len(a) + 1][len(b) + 1], most + 1)
 
 
-_WIDE = 24
-
-
 def _letters(words: list[str]) -> np.ndarray:
-    """Words as rows of character codes, 0 after the end; only for words of at most _WIDE characters."""
-    out = np.zeros((len(words), _WIDE), np.uint8)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 200 for c in w[:_WIDE]]
-    return out
+    """Words as rows of character codes, 0 after the end."""
+    wide = max(map(len, words), default=0) or 1
+    return np.array(words, dtype=f"U{wide}").view(np.uint32).reshape(len(words), wide)
 
 
 def adjacent_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -287,95 +281,149 @@ def _mask(word: str) -> int:
     return seen
 
 
-def _masks(words: list[str]) -> np.ndarray:
-    return np.array([_mask(w) for w in words], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _least(one: np.uint64, many: np.ndarray) -> np.ndarray:
-    """A lower bound of the edit distance: letters that one word has and the other lacks."""
-    return np.maximum(np.bitwise_count(one & ~many), np.bitwise_count(many & ~one))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers whose bits all depend on all bits of x (the end of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _place(kind: str, cores: list[str], words: list[str], masks: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> list[tuple]:
-    """The cells of some cores: (kind, pivot, core, at home), with a null pivot for a core at home nowhere."""
-    reach = [int(radius(len(c))) + RADIUS for c in cores]
-    near: list[list[tuple[int, str]]] = [[] for _ in cores]
-    own, ones = _letters(cores), _masks(cores)
-    i, j = [], []
-    for k, core in enumerate(cores):
-        if not words:
-            break
-        found = np.flatnonzero((_least(ones[k], masks) <= reach[k]) & (np.abs(lengths - len(core)) <= reach[k]))
-        if len(core) > _WIDE - RADIUS * 2:  # long: no filter by rows of letters
-            near[k] = [(d, words[x]) for x in found if (d := distance(core, words[x], reach[k])) <= reach[k]]
-        else:
-            i.append(np.full(len(found), k))
-            j.append(found)
-    if i and sum(map(len, i)):
-        i, j = np.concatenate(i), np.concatenate(j)
-        for at in range(0, len(i), 16384):
-            a, b = i[at : at + 16384], j[at : at + 16384]
-            rough = adjacent_distance(own[a], np.array([len(cores[x]) for x in a]), letters[b], np.minimum(lengths[b], _WIDE))
-            for x in np.flatnonzero(rough <= np.array(reach)[a] + 2):
-                core, word = cores[a[x]], words[b[x]]
-                if (d := distance(core, word, reach[a[x]])) <= reach[a[x]]:
-                    near[a[x]].append((d, word))
-    rows = []
-    for core, found in zip(cores, near, strict=True):
-        found.sort()
-        home = bool(found) and found[0][0] <= RADIUS
-        rows += [(kind, w, core, home and w == found[0][1]) for _, w in found]
-        if not home:
-            rows.append((kind, None, core, False))
-    return rows
-
-
-def _join_cell(batch: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a cell that have a core at home and are within the radius."""
-    words, kind = batch["core"].tolist(), batch["kind"].iloc[0]
-    masks, allowed = _masks(words), radius(np.array([len(w) for w in words]))
-    rows = []
-    for h in np.flatnonzero(batch["home"].to_numpy()):
-        most = np.minimum(allowed, allowed[h])
-        for i in np.flatnonzero(_least(masks[h], masks) <= most):
-            if words[i] != words[h] and (d := distance(words[h], words[i], int(most[i]))) <= most[i]:
-                rows.append((kind, *sorted((words[h], words[i])), d))
-    return pd.DataFrame(rows, columns=["kind", "a", "b", "d"])
+def _left_out(words: list[str], most: int) -> np.ndarray:
+    """A row for each of the words, all of one length: the hashes of what is left without 0 to `most` (at most 2) of the letters."""
+    n, size = len(words), len(words[0])
+    codes = _mixed(_letters(words).astype(np.uint64) * _ODD)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _ODD)]))
+    sums = []  # of the letters before a place, moved to the left by as many places as letters are left out before them
+    for moved in range(most + 1):
+        part = np.zeros((n, size + 1), np.uint64)
+        np.cumsum(codes[:, moved:] * powers[: max(0, size - moved)], axis=1, out=part[:, moved + 1 :]) if size > moved else None
+        sums.append(part)
+    out = [sums[0][:, size:]]
+    if most > 0:
+        i = np.arange(size)
+        out.append(sums[0][:, i] + sums[1][:, size:] - sums[1][:, i + 1])
+    if most > 1:
+        i, j = np.triu_indices(size, 1)
+        out.append(sums[0][:, i] + sums[1][:, j] - sums[1][:, i + 1] + sums[2][:, size:] - sums[2][:, j + 1])
+    return _mixed(np.concatenate(out, axis=1))
+
+
+def _piece_keys(word: str) -> list[int]:
+    """Keys of a long word: its five pieces, and what may be one of a word that is as long or shorter by up to RADIUS.
+
+    RADIUS edits touch at most four pieces, as a transposition touches two, and move the others by at most RADIUS.
+    """
+    found = set()
+    for size in range(len(word) - RADIUS, len(word) + 1):
+        ends = [size * k // 5 for k in range(6)]
+        for k in range(5):
+            for at in range(max(0, ends[k] - RADIUS), min(len(word), ends[k] + RADIUS) + 1):
+                text = f"{size} {k} {word[at : at + ends[k + 1] - ends[k]]}"
+                found.add(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little"))
+    return sorted(found)
+
+
+def _keys(kind: str, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of some cores of a kind: equal keys for any two within the radius."""
+    keys, owners = [], []
+    sizes = np.array([len(w) for w in words])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        if size <= LONG:
+            found = _left_out([words[i] for i in own], int(radius(size)))
+            keys.append(found.ravel())
+            owners.append(np.repeat(ids[own], found.shape[1]))
+        if size > LONG - RADIUS:
+            for i in own:
+                found = np.array(_piece_keys(words[i]), np.uint64)
+                keys.append(found)
+                owners.append(np.repeat(ids[i : i + 1], len(found)))
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(kind.encode(), digest_size=8).digest(), "little"))
+    return np.concatenate(keys) ^ seed, np.concatenate(owners)
+
+
+def _equal_keys(keys: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(i, j), i < j: ids that have a key in common; a pair comes once in each frame."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    at, step, kept, size = np.arange(len(keys)), 0, [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        kept.append(np.stack([np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step])]))
+        size += len(at)
+        if size > 1_000_000 or not len(at):
+            both = np.concatenate(kept, axis=1)
+            both = both[:, both[0] < both[1]]
+            both = both[:, np.lexsort(both[::-1])]
+            new = np.ones(both.shape[1], bool)
+            new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+            yield pd.DataFrame({"i": both[0, new], "j": both[1, new]})
+            kept, size = [], 0
+
+
+def _distances(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """The Damerau-Levenshtein distances of pairs; more than `most` (at most RADIUS) where they exceed it."""
+    la, lb = np.array([len(w) for w in a]), np.array([len(w) for w in b])
+    out = np.full(len(a), 99)
+    short = np.flatnonzero((la <= 100) & (lb <= 100))
+    for at in range(0, len(short), 16384):
+        own = short[at : at + 16384]
+        out[own] = adjacent_distance(_letters([a[i] for i in own]), la[own], _letters([b[i] for i in own]), lb[own])
+    for i in np.flatnonzero((out > most) & ((out == most + 1) | (la > 100) | (lb > 100))):
+        out[i] = distance(a[i], b[i], int(most[i]))
+    return out
 
 
 def radius_join(cores: DataFrame) -> DataFrame:
     """(kind, a, b, d): all pairs a < b of distinct cores of a kind within the radius of the shorter one."""
-    spark = cores.sparkSession
-    tasks = 3 * spark.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced by size
-    left = cut(cores.select("kind", "core").distinct())
-    rest, found = left, None
-    while (n := rest.count()) > 0:
-        k = n if n <= 64 else min(PIVOTS, max(64, n // 4))
-        drawn = rest.orderBy(F.xxhash64("core"), "core", "kind").limit(k).collect()  # at most PIVOTS short strings
-        pivots: dict[str, list[str]] = defaultdict(list)
-        for row in drawn:
-            pivots[row.kind].append(row.core)
-        sent = spark.sparkContext.broadcast(dict(pivots))
-
-        def assign(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            known = {kind: (words, _masks(words), _letters(words), np.array([len(w) for w in words])) for kind, words in sent.value.items()}
-            for batch in batches:
-                for kind, part in batch.groupby("kind"):
-                    words, masks, letters, lengths = known.get(kind, ([], *[np.zeros(0, np.uint64)] * 3))
-                    cores = part["core"].tolist()
-                    for at in range(0, len(cores), 256):
-                        yield pd.DataFrame(_place(kind, cores[at : at + 256], words, masks, letters, lengths), columns=["kind", "pivot", "core", "home"])
-
-        placed = cut(rest.repartition(tasks, "core").mapInPandas(assign, "kind string, pivot string, core string, home boolean"))
-
-        pairs = placed.where("pivot is not null").repartition(tasks, "kind", "pivot").groupBy("kind", "pivot").applyInPandas(_join_cell, "kind string, a string, b string, d int")
-        found = pairs if found is None else found.unionByName(pairs)
-        if k == n:
-            break
-        rest = cut(placed.where("pivot is null").select("kind", "core").distinct())
-    if found is None:
-        return spark.createDataFrame([], "kind string, a string, b string, d int")
-    return found.distinct()
+    tasks = 3 * cores.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced by size
+    words = cut(cores.select("kind", "core").distinct().repartition(tasks, "core").withColumn("id", F.monotonically_increasing_id()))
+    groups = max(tasks, words.count() * 60 // GROUP)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, part in batch.groupby("kind"):
+                for at in range(0, len(part), 5000):
+                    some = part.iloc[at : at + 5000]
+                    keys, ids = _keys(kind, some["core"].tolist(), some["id"].to_numpy(np.int64))
+                    group = (keys >> np.uint64(32)) % np.uint64(groups)
+                    order = np.argsort(group, kind="stable")
+                    keys, ids, group = keys[order], ids[order], group[order]
+                    ends = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+                    rows = [(g, keys[x:y].tobytes(), ids[x:y].tobytes()) for g, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+                    yield pd.DataFrame(rows, columns=["g", "keys", "ids"])
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, keys, ids = None, [], []
+        for batch in batches:
+            for g, k, i in zip(batch["g"], batch["keys"], batch["ids"], strict=True):
+                if g != last and keys:
+                    yield from _equal_keys(np.concatenate(keys), np.concatenate(ids))
+                    keys, ids = [], []
+                last = g
+                keys.append(np.frombuffer(k, np.uint64))
+                ids.append(np.frombuffer(i, np.int64))
+        if keys:
+            yield from _equal_keys(np.concatenate(keys), np.concatenate(ids))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = batch["a"].tolist(), batch["b"].tolist()
+            most = np.minimum(radius(batch["a"].str.len().to_numpy()), radius(batch["b"].str.len().to_numpy())) if a else np.zeros(0, int)
+            batch = batch.assign(d=_distances(a, b, most).astype(np.int32))
+            yield batch[batch["d"] <= most]
+
+    sent = words.mapInPandas(blocks, "g int, keys binary, ids binary")
+    met = sent.repartition(tasks, "g").sortWithinPartitions("g").mapInPandas(pairs, "i long, j long")
+    first, second = (words.select(F.col("id").alias(i), "kind", F.col("core").alias(c)) for i, c in (("i", "x"), ("j", "y")))
+    spelled = met.distinct().join(first, "i").join(second.drop("kind"), "j")
+    ordered = spelled.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return ordered.mapInPandas(near, "kind string, a string, b string, d int")
 
 
 def learned(forms: DataFrame) -> DataFrame:
@@ -407,77 +455,61 @@ def _fits(kind: str, a: str, b: str) -> bool:
     return distance(a, b, 2) <= (1 if min(len(a), len(b)) < 6 else 2)
 
 
-def _open_fits(kind: str, part: str, full: str) -> bool:
+def _open_fits(kind: Column, part: Column, full: Column) -> Column:
     """Whether an initial, an ambiguous abbreviation or a missing part can stand for a full second part."""
-    stem = part[:-1]
-    if not stem:
-        return True
-    return full.startswith(stem) if kind == "person" else full in stem.split("|")
+    stem = F.substring_index(part, "*", 1)
+    return F.when(stem == "", True).when(kind == "person", F.startswith(full, stem)).otherwise(F.array_contains(F.split(stem, r"\|"), full))
 
 
 def classes(forms: DataFrame, near: DataFrame) -> DataFrame:
-    """(kind, core, second, class) of the distinct forms, linked within families of near cores."""
-    spell = F.concat_ws("\0", "kind", "core")
-    edges = near.select(F.concat_ws("\0", "kind", "a").alias("a"), F.concat_ws("\0", "kind", "b").alias("b"))
-    family = connected_components(edges)
-    rows = forms.select("kind", "core", "second").distinct().withColumn("node", spell).join(family, "node", "left")
-    rows = rows.withColumn("family", F.coalesce("component", "node")).select("family", "kind", "core", "second")
-
-    def link(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["core", "second"], ignore_index=True)
-        kind = batch["kind"].iloc[0]
-        core, second = batch["core"].tolist(), batch["second"].tolist()
-        up = list(range(len(batch)))
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        memo: dict[tuple[str, str], int] = {}
-
-        def apart(x: str, y: str) -> int:
-            if x == y:
-                return 0
-            most = int(min(radius(len(x)), radius(len(y))))
-            if (x, y) not in memo:
-                memo[x, y] = distance(x, y, most) if distance(x, y, most) <= most else 99
-            return memo[x, y]
-
-        def sure(x: str, y: str) -> int:
-            return 2 if min(len(x), len(y)) >= SHORTEST else 1
-
-        full = [i for i, s in enumerate(second) if not s.endswith("*")]
-        partial = [i for i, s in enumerate(second) if s.endswith("*")]
-        names = sorted({second[i] for i in full})
-        same = {s: [t for t in names if _fits(kind, s, t)] for s in names}
-        by_name = defaultdict(list)
-        for i in full:
-            by_name[second[i]].append(i)
-        for i in full:
-            for t in same[second[i]]:
-                for j in by_name[t]:
-                    if j > i and (d := apart(core[i], core[j])) <= 2 and (d < sure(core[i], core[j]) or second[i] == second[j]):
-                        up[max(top(i), top(j))] = min(top(i), top(j))
-        for i in partial:
-            fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) < sure(core[i], core[j])}
-            if not fitting:
-                fitting = {top(j): 0 for j in full if _open_fits(kind, second[i], second[j]) and apart(core[i], core[j]) <= sure(core[i], core[j])}
-            if len(fitting) == 1:
-                up[i] = next(iter(fitting))
-            elif not fitting:
-                for j in partial:
-                    if j < i and second[j] == second[i] and apart(core[i], core[j]) < sure(core[i], core[j]):
-                        up[i] = top(j)
-                        break
-            elif second[i] != "*":  # several fit: only equal spellings are the same
-                continue
-        batch["class"] = [f"{kind}\0{core[top(i)]}\0{second[top(i)]}" for i in range(len(batch))]
-        return batch[["kind", "core", "second", "class"]]
-
-    tasks = 3 * forms.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks, "family").groupBy("family").applyInPandas(link, "kind string, core string, second string, class string")
+    """(kind, core, second, class) of the distinct forms; `near` has the pairs of near cores.
+
+    A full second part is linked to one that fits it, an equal one also where two edits are between the cores. A class of
+    those is a candidate for an open second part (it ends in a star). Where there is no candidate at all, the form is
+    linked to the first one with the same open part, in order of the cores.
+    """
+    rows = cut(forms.select("kind", "core", "second").distinct().withColumn("id", F.monotonically_increasing_id()))
+    near = cut(near)
+    both = near.select("kind", F.col("a").alias("core"), F.col("b").alias("other"), "d").unionByName(near.select("kind", F.col("b").alias("core"), F.col("a").alias("other"), "d"))
+    sure = F.when(F.least(F.length("core"), F.length("other")) >= SHORTEST, 2).otherwise(1)
+    both = both.withColumn("sure", sure)
+    is_open = F.col("second").endswith("*")
+    full, partial = rows.where(~is_open), rows.where(is_open)
+    to = full.select("kind", F.col("core").alias("other"), F.col("second").alias("name"), F.col("id").alias("to"))
+
+    equal = full.join(near.select("kind", F.col("a").alias("core"), F.col("b").alias("other")), ["kind", "core"])
+    equal = equal.join(to.withColumnRenamed("name", "second"), ["kind", "other", "second"]).select(F.col("id").alias("a"), F.col("to").alias("b"))
+
+    @F.pandas_udf("boolean")
+    def fits(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_fits(*x) for x in zip(kind, a, b, strict=True)], dtype=bool)
+
+    def around(some: DataFrame) -> DataFrame:
+        """Full forms with a core that is equal, or near."""
+        other = some.join(both, ["kind", "core"]).select("id", "kind", "second", "other", "d", "sure")
+        own = some.select("id", "kind", "second", F.col("core").alias("other"), F.lit(0).alias("d"), F.lit(1).alias("sure"))
+        return own.unionByName(other).join(to, ["kind", "other"])
+
+    # two known names fit only if they are equal; the test by letters and the built-in distance spare most calls
+    new = full.where((F.col("kind") == "person") & ~F.col("second").isin(sorted(_KNOWN)))
+    like = F.startswith("name", "second") | F.endswith("name", "second") | F.startswith("second", "name") | F.endswith("second", "name") | (F.levenshtein("name", "second") <= 2 * RADIUS)
+    similar = around(new).where((F.col("d") < F.col("sure")) & (F.col("second") != F.col("name")) & like).where(fits("kind", "second", "name"))
+    edges = equal.unionByName(similar.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    found = connected_components(edges).withColumnRenamed("node", "to").withColumnRenamed("component", "top")
+    tops = cut(full.select(F.col("id").alias("to")).join(found, "to", "left").select("to", F.coalesce("top", "to").alias("top")))
+
+    open_to = around(partial).where((F.col("d") <= F.col("sure")) & _open_fits(F.col("kind"), F.col("second"), F.col("name"))).join(tops, "to")
+    nearest = F.col("d") < F.col("sure")
+    seen = open_to.groupBy("id").agg(F.min(F.when(nearest, F.col("top"))).alias("n1"), F.max(F.when(nearest, F.col("top"))).alias("n2"), F.min("top").alias("f1"), F.max("top").alias("f2"))
+    seen = cut(seen.select("id", F.coalesce("n1", "f1").alias("low"), F.coalesce("n2", "f2").alias("high")))
+    alone = partial.join(seen, "id", "left_anti").join(both.where("d < sure and other < core"), ["kind", "core"])
+    earlier = partial.select("kind", F.col("core").alias("other"), "second", F.col("id").alias("to"))
+    parents = alone.join(earlier, ["kind", "other", "second"]).groupBy("id").agg(F.min_by("to", "other").alias("to"))
+    trees = connected_components(seen.where("low = high").select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(parents.select(F.col("id").alias("a"), F.col("to").alias("b"))))
+
+    one = rows.join(tops.withColumnRenamed("to", "id"), "id", "left").withColumn("node", F.coalesce("top", "id")).join(trees, "node", "left")
+    first = F.coalesce("component", "node").alias("class")
+    return one.select("kind", "core", "second", F.concat_ws("\0", "kind", first).alias("class"))
 
 
 def entity_classes(entities: DataFrame) -> DataFrame:

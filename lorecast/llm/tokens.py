@@ -1,14 +1,11 @@
-"""Problem 6: encoding a corpus with a public byte-level BPE tokenizer, inside the JVM.
+"""Problem 6: encoding a corpus with a public byte-level BPE tokenizer.
 
-The vocabulary's ranks become a literal of the plan: an array of small maps, addressed by the hash of the word. Texts are
-split once; a word that is a token as a whole is looked up as it stands, and what is kept of a text is its ids with holes
-and the words of the holes, written to the shared folder. Such words are counted over the whole corpus, the FREQUENT
-most common of them folded once each, and their ids become a second literal; words that are less common are folded where
-they stand. So no text and no list of ids is ever shuffled, only counts of distinct words, and no word is a hot key.
+Texts are split into words by the JVM, whose regular expressions know Unicode's classes. The words of an Arrow batch are
+numbered by their distinct values, each distinct word is merged once, and the ids of the documents are put together from
+those of the words by arrays; a task keeps the ids of at most FREQUENT words for its next batches. The vocabulary is
+broadcast, so it stands in no plan, and nothing is shuffled or written.
 
-A word is folded over its bytes, one character each (ISO-8859-1): `aggregate` merges the adjacent pair of lowest rank
-until none is left, and keeps the ranks of the pairs beside the parts so that a merge looks up two new pairs only. Words
-of more than LONG bytes, for which that would be quadratic, go through a heap over a linked list in an Arrow batch.
+A word is merged through a heap of pairs over a linked list, in n log n steps. Words of more than LONG bytes are not kept.
 
 Defined cases: a null or empty text gives an empty list; repeated rows and repeated keys each give their own row; a null
 key is kept; a text of any length is encoded as a whole; strings that look like special tokens are ordinary text.
@@ -19,21 +16,20 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecast.io import table
-from lorecast.plans.materialize import store
 
 TOKENIZERS = "/opt/tokenizers"
-#: Buckets of a literal map (a power of two), words whose ids become a literal, and bytes from which a word is long.
-BUCKETS, FREQUENT, LONG = 65536, 16384, 256
-NONE = 2147483647
-Rank = Callable[[Column], Column]
+#: Words whose ids a task keeps, and bytes from which a word is too long to be kept.
+FREQUENT, LONG = 131072, 256
 #: The pattern that splits a text into words before byte-level BPE, as published with the vocabulary.
 #: (?U) makes \s the Unicode property White_Space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,107 +42,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def murmur3(data: bytes, seed: int = 42) -> int:
-    """The 32 bit hash that Spark's `hash` gives for a string."""
-    m, h = 0xFFFFFFFF, seed
-
-    def mix(h: int, k: int) -> int:
-        k = k * 0xCC9E2D51 & m
-        k = (k << 15 | k >> 17) * 0x1B873593 & m
-        h ^= k
-        return (h << 13 | h >> 19) * 5 + 0xE6546B64 & m
-
-    whole = len(data) // 4 * 4
-    for i in range(0, whole, 4):
-        h = mix(h, int.from_bytes(data[i : i + 4], "little"))
-    for c in data[whole:]:  # each byte left over by itself, with its sign
-        h = mix(h, (c - 256 if c > 127 else c) & m)
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    return h ^ h >> 16
-
-
-class WordMap:
-    """Values of words as one literal of the plan. `within` binds it to a variable, so that an expression holds it once."""
-
-    def __init__(self, values: dict[str, object], kind: str) -> None:
-        buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
-        for word, value in values.items():
-            buckets[murmur3(word.encode()) & BUCKETS - 1][word] = value
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
-
-    def within(self, use: Callable[[Rank], Column]) -> Column:
-        """use(find), where find gives the value of a word, NULL for none."""
-        return _let(self.literal, lambda found: use(lambda word: F.try_element_at(F.get(found, F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))), word)))
-
-
-def byte_ranks(ranks: dict[bytes, int]) -> WordMap:
-    """The ranks of pieces, one character a byte."""
-    return WordMap({piece.decode("iso-8859-1"): rank for piece, rank in ranks.items()}, "int")
-
-
-def word_ranks(ranks: dict[bytes, int]) -> WordMap:
-    """The ranks of the pieces that are text by themselves, as text."""
-    found = {}
-    for piece, rank in ranks.items():
-        try:
-            found[piece.decode()] = rank
-        except UnicodeDecodeError:  # part of a character: never a word
-            pass
-    return WordMap(found, "int")
-
-
-def byte_word(word: Column) -> Column:
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
-
 def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), 0)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def merge_word(word: Column, rank: Rank) -> Column:
-    """The ids of one word of two bytes or more: the ranked merges, folded over its bytes."""
-    pair = lambda a: F.coalesce(rank(a), F.lit(NONE))
-    one = lambda x: F.array(x)
-    none = F.array().cast("array<int>")
-    size = F.length(word)
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1))).alias("parts"),
-        F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: pair(F.substr(word, i, F.lit(2)))).alias("ranks"),
-    )
-
-    def merge(state: Column, at: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-        part = lambda i: F.get(parts, i)
-        return _let(
-            F.concat(part(at - 1), part(at)),
-            lambda new: F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), one(new), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                    F.when(at > 1, one(pair(F.concat(part(at - 2), new)))).otherwise(none),
-                    F.when(at + 1 < F.size(parts), one(pair(F.concat(new, part(at + 1))))).otherwise(none),
-                    F.slice(ranks, at + 2, F.size(ranks)),
-                ).alias("ranks"),
-            ),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        lowest = F.coalesce(F.array_min(state["ranks"]), F.lit(NONE))
-        return F.when(lowest == NONE, state).otherwise(
-            _let(F.array_position(state["ranks"], lowest).cast("int"), lambda at: merge(state, at))
-        )
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: s["parts"])
-    return F.when(size == 1, F.array(rank(word))).otherwise(F.transform(folded, rank))
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a word by ranked merges: a heap of pairs over a linked list, in n log n steps."""
     parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -173,53 +72,39 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-INTS = "array<int>"
-
-
-def marked(df: DataFrame, key: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
-    """(key, ids, places, words) of every row of df: ids with a hole (null) for each word that is no token, where the holes are, and their words."""
-    words = split_words(F.when(F.length(df[text]) > 0, df[text]))
-
-    def split(ws: Column, ids: Column) -> Column:
-        holes = F.filter(F.transform(ids, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
-        return _let(holes, lambda at: F.struct(ids.alias("ids"), at.alias("places"), F.transform(at, lambda i: F.get(ws, i)).alias("words")))
-
-    both = word_ranks(ranks).within(lambda rank: _let(words, lambda ws: _let(F.transform(ws, rank), lambda ids: split(ws, ids))))
-    return df.select(df[key].alias("key"), both.alias("m")).select("key", "m.*")
-
-
 def encode(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
     """(key, ids) of every row of df, without special tokens."""
-    rows = store(marked(df, key, text, ranks))
-    pieces = byte_ranks(ranks)
-    counts = rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= long).groupBy("word").agg(F.count("*").alias("n"))
-    common = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word").repartition(df.sparkSession.sparkContext.defaultParallelism, "word")
-    folded = common.select("word", pieces.within(lambda rank: merge_word(byte_word(F.col("word")), rank)).alias("ids"))
-    known = WordMap({row.word: row.ids for row in folded.collect()}, INTS)  # at most `frequent` words of at most `long` bytes
-
-    @F.pandas_udf(f"array<{INTS}>")
-    def fold_long(words: pd.Series) -> pd.Series:
-        memo: dict[str, list[int]] = {}
-        return pd.Series([[memo[w] if w in memo else memo.setdefault(w, merge_long(w.encode(), ranks)) if len(w.encode()) > long else None for w in ws] for ws in words])
-
-    def filled(part: DataFrame, folds: bool) -> DataFrame:
-        def whole(find: Rank, rank: Rank) -> Column:
-            def code(at: Column) -> Column:
-                short = _let(F.get("words", at), lambda w: F.coalesce(find(w), merge_word(byte_word(w), rank)))
-                return F.coalesce(F.get("folds", at), short) if folds else short
-
-            def piece(place: Column, at: Column) -> Column:  # the ids between a hole and the one before, and those of its word
-                before = F.coalesce(F.get("places", at - 1), F.lit(-1))
-                return F.concat(F.slice("ids", before + 2, place - before - 1), code(at))
-
-            last = F.element_at("places", -1)
-            return F.concat(F.flatten(F.transform("places", piece)), F.slice("ids", last + 2, F.size("ids") - last - 1))
-
-        ids = known.within(lambda find: pieces.within(lambda rank: whole(find, rank)))
-        return part.select("key", F.when(F.size("places") > 0, ids).otherwise(F.coalesce("ids", F.array().cast(INTS))).alias("ids"))
-
-    heavy = F.coalesce(F.exists("words", lambda w: F.octet_length(w) > long), F.lit(False))
-    return filled(rows.where(~heavy), False).unionByName(filled(rows.where(heavy).withColumn("folds", fold_long("words")), True))
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
+    words = F.when(F.length(df[text]) > 0, split_words(df[text])).otherwise(F.array().cast("array<string>"))
+    rows = df.select(df[key].alias("key"), words.alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, kept = sent.value, {}
+
+        def ids_of(word: str) -> list[int]:
+            found = kept.get(word)
+            if found is None:
+                data = word.encode()
+                found = [ranks[data]] if data in ranks else merge_long(data, ranks)
+                if len(kept) < frequent and len(data) <= long:
+                    kept[word] = found
+            return found
+
+        for batch in batches:
+            column = batch.column(1)
+            of = column.flatten().dictionary_encode()
+            each = [ids_of(w) for w in of.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            values, starts = np.fromiter(chain.from_iterable(each), np.int32, sizes.sum()), np.cumsum(sizes) - sizes
+            word = of.indices.to_numpy()
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[word])])
+            place = np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes[word])
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py() if len(column) else np.zeros(1, np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(values[place], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -6,7 +6,7 @@ import itertools
 import random
 import time
 
-from lorecast.llm import names
+from lorecast.llm import names, tokens
 
 
 def test_near_names_are_not_linked_pair_by_pair(spark):
@@ -41,3 +41,12 @@ def test_long_short_and_foreign_cores_are_joined_like_others(spark):
     got = sorted((r.kind, r.a, r.b, r.d) for r in names.radius_join(df).collect())
     near = [(a, b, names.distance(a, b, 2), min(int(names.radius(len(a))), int(names.radius(len(b))))) for a, b in itertools.combinations(words, 2)]
     assert got == sorted((k, a, b, d) for a, b, d, most in near if d <= most for k in ("k", "l"))
+
+
+def test_the_vocabulary_stands_in_no_plan(spark):
+    """The driver keeps the descriptions of plans; with the vocabulary as a literal one of them had megabytes."""
+    ranks = tokens.read_ranks(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, "Hello zyxwv qqxjk"), (2, None), (3, "Hello  again")], "id long, text string")
+    got = tokens.encode(df, "id", "text", ranks)
+    assert len(got._jdf.queryExecution().toString()) < 100_000
+    assert {r.key: len(r.ids) > 0 for r in got.collect()} == {1: True, 2: False, 3: True}
